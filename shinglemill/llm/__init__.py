@@ -8,7 +8,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with ``QUERIES``, and ``ORACLES`` where SQL can express a query.
-MODULES = ("sharding", "mixing", "warc")
+MODULES = ("dedup", "sharding", "vectors", "mixing", "warc")
 
 
 def queries() -> dict:
