@@ -8,7 +8,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with ``QUERIES``, and ``ORACLES`` where SQL can express a query.
-MODULES = ("dedup", "sharding", "vectors", "langid", "mixing", "toxicity", "warc", "bpe")
+MODULES = ("dedup", "sharding", "vectors", "langid", "mixing", "toxicity", "licenses", "ann", "warc", "bpe")
 
 
 def queries() -> dict:
