@@ -1,14 +1,71 @@
-"""The document pipeline: language ID, toxicity, near-duplicates, mixing, tokens."""
+"""The document pipeline: language ID, toxicity, near-duplicates, mixing, tokens.
+
+Each stage takes all that its predecessor kept. Its docs are the columns of ``documents``, and so is what it returns, but for
+the last. Every stage is run on written input by ``run``, so that a lost executor costs tasks and no stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shinglemill.llm import bpe, dedup, langid, mixing, toxicity
+from shinglemill.scratch import Scratch
 
-#: SQL can't express trained models, so there is none; tests compare the stages with plain versions.
+#: SQL can't express trained networks, so there is none; tests compare every stage with a plain version.
 ORACLE_SQL = None
 
-STAGES: list = []
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a language: null texts and texts without a letter. Others keep their row; ``lang`` becomes the
+    predicted language where it was null."""
+    model = langid.train(docs)
+    found = langid.identify(docs.select(*COLUMNS), model)
+    known = found if model is None else found.filter("lang_pred <> 'und'")
+    known = known.filter(F.col("text").rlike(r"\p{L}"))
+    return known.withColumn("lang", F.when(F.col("lang_pred") != "und", F.coalesce("lang", "lang_pred")).otherwise(F.col("lang"))).select(*COLUMNS)
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the network takes for toxic. It learns from the labels of this stage's own documents."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    model = toxicity.train(docs, labels)
+    return toxicity.score_toxicity(docs.select(*COLUMNS), model).filter("toxic_pred = 0").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the smallest id of each group of near-duplicates (five-word shingles, similarity 0.8), and one
+    row of an id that repeats. Rows without an id are kept."""
+    kept = dedup.near_duplicates(docs, words=5, percent=80).filter("kept and doc_id is not null").select("doc_id").distinct()
+    whole = docs.select(*COLUMNS)
+    chosen = whole.join(kept, "doc_id", "left_semi")
+    repeated = chosen.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    single, many = chosen.join(repeated, "doc_id", "left_anti"), chosen.join(repeated, "doc_id", "left_semi")
+    return single.select(*COLUMNS).unionByName(many.dropDuplicates(["doc_id"]).select(*COLUMNS)).unionByName(whole.filter("doc_id is null"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or leaves out documents so that sources have their target tokens. Rows without an id share a number of copies."""
+    copies = mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").alias("copies")).filter("copies > 0")
+    taken = docs.select(*COLUMNS).join(copies, docs["doc_id"].eqNullSafe(copies["doc_id"])).drop(copies["doc_id"])
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of every row."""
+    import public_tokenizers
+
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [("language_id", language), ("toxicity", toxic), ("near_duplicates", near_duplicates), ("mixing", mix_sources), ("byte_bpe", tokens)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
