@@ -16,12 +16,15 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import zlib
 from collections import Counter
-from itertools import chain
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,8 +32,8 @@ from shinglemill.scratch import Scratch
 
 #: Bits of a token id in a packed entry; an id that stands for "no merge".
 _ID, _NONE = 17, (1 << 17) - 1
-#: Words met in a task before it forgets them and starts anew, and chunks of text whose split is remembered.
-_WORDS, _CHUNKS = 300_000, 300_000
+#: Words whose numbers, or counts, a task holds at once.
+_WORDS = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -51,6 +54,7 @@ class RankMap:
         if max(ranks.values()) >= _NONE:
             raise ValueError("ids must stay below 2 ** 17 - 1")
         self.bytes = [ranks[bytes([i])] for i in range(256)]
+        self.ranks = ranks
         pairs = {}
         for piece, merged in ranks.items():
             for cut in range(1, len(piece)):
@@ -85,15 +89,22 @@ class RankMap:
         return True
 
     def merged(self):
-        """A function of two id columns: the id of their merge, or ``_NONE``."""
+        """A function of a column of keys: the id of the pair's merge, or ``_NONE``; a negative key stands for no pair."""
         slots = F.from_json(F.lit(str(self.slots)), "array<bigint>")
         shift = F.from_json(F.lit(str(self.shift)), "array<bigint>")
 
         def look(key):
             at = (key % self.q + F.get(shift, (key % self.m).cast("int")) * (key % self.r)) % self.n
-            return _let(F.get(slots, at.cast("int")), lambda found: F.when(F.shiftright(found, _ID) == key, found.bitwiseAND(_NONE)).otherwise(F.lit(_NONE).cast("bigint")))
+            hit = _let(F.get(slots, at.cast("int")), lambda found: F.when(F.shiftright(found, _ID) == key, found.bitwiseAND(_NONE)).otherwise(F.lit(_NONE).cast("bigint")))
+            return F.when(key < 0, F.lit(_NONE).cast("bigint")).otherwise(hit)
 
-        return lambda a, b: _let(F.shiftleft(a, _ID) + b, look)
+        return look
+
+    def first_merges(self):
+        """A function of two byte columns: the id of the merge of their ids, or ``_NONE``, from a table of all pairs of bytes."""
+        table = [self.ranks.get(bytes([a, b]), _NONE) for a in range(256) for b in range(256)]
+        literal = F.from_json(F.lit(str(table)), "array<bigint>")
+        return lambda a, b: F.get(literal, (a * 256 + b).cast("int"))
 
 
 def _let(value, body):
@@ -107,39 +118,44 @@ def encode_word(word, ranks: RankMap):
     An entry of the fold's state is ``rank of the pair it starts << 46 | offset << 17 | id``, so that the smallest entry is the
     leftmost pair of the lowest rank. Each step merges that pair and renews the ranks on its two sides.
     """
-    merged = ranks.merged()
+    merged, first = ranks.merged(), ranks.first_merges()
     alphabet = F.from_json(F.lit(str(ranks.bytes)), "array<bigint>")
-    none = F.lit(_NONE).cast("bigint")
-
-    def pack(rank, place, ident):
-        return F.shiftleft(rank, 46).bitwiseOR(place).bitwiseOR(ident)
+    none, gone, place = F.lit(_NONE).cast("bigint"), F.lit(-1).cast("bigint"), F.lit(((1 << 29) - 1) << _ID)
 
     def id_of(entry):
         return entry.bitwiseAND(_NONE)
 
-    place = F.lit(((1 << 29) - 1) << _ID)
+    def entry(rank, offset, ident):
+        return F.shiftleft(rank, 46).bitwiseOR(offset).bitwiseOR(ident)
+
+    def start(raw):
+        offsets = F.sequence(F.lit(0), F.size(raw) - 1)
 
-    def start(ids):
-        pairs = F.zip_with(ids, F.slice(ids, F.lit(2), F.size(ids)), lambda a, b: F.when(b.isNull(), none).otherwise(merged(a, b)))
-        return F.zip_with(ids, F.zip_with(pairs, F.sequence(F.lit(0).cast("bigint"), F.size(ids) - F.lit(1).cast("bigint")), lambda p, i: F.shiftleft(p, 46).bitwiseOR(F.shiftleft(i, _ID))), lambda a, p: p.bitwiseOR(a))
+        def at(i):
+            after = F.get(raw, i + 1)
+            rank = F.when(after.isNull(), none).otherwise(first(F.get(raw, i), after))
+            return entry(rank, F.shiftleft(i.cast("bigint"), _ID), F.get(alphabet, F.get(raw, i).cast("int")))
+
+        return F.transform(offsets, at)
 
     def step(state, _):
         def merge(low, at):
-            new = F.shiftright(low, 46)
-            before, after = F.get(state, at - 2), F.get(state, at + 1)
-            own = pack(F.when(after.isNull(), none).otherwise(merged(new, id_of(after))), low.bitwiseAND(place), new)
-            left = pack(merged(id_of(before), new), before.bitwiseAND(place), id_of(before))
-            gone = F.lit(-1).cast("bigint")
-            put = lambda x, i: F.when(i < at - 2, x).when(i > at, x).when(i == at - 1, own).when(i == at, gone).otherwise(left)
-            return F.array_remove(F.transform(state, put), gone)
+            new, before, after = F.shiftright(low, 46), F.get(state, at - 2), F.get(state, at + 1)
+            left = F.when(before.isNull(), gone).otherwise(F.shiftleft(id_of(before), _ID).bitwiseOR(new))
+            right = F.when(after.isNull(), gone).otherwise(F.shiftleft(new, _ID).bitwiseOR(id_of(after)))
 
-        return _let(F.array_min(state), lambda low: F.when(F.shiftright(low, 46) == _NONE, state).otherwise(_let(F.array_position(state, low).cast("int"), lambda at: merge(low, at))))
+            def renew(ranks_):
+                own = entry(F.get(ranks_, F.lit(1)), low.bitwiseAND(place), new)
+                previous = entry(F.get(ranks_, F.lit(0)), before.bitwiseAND(place), id_of(before))
+                put = lambda x, i: F.when(i < at - 2, x).when(i > at, x).when(i == at - 1, own).when(i == at, gone).otherwise(previous)
+                return F.array_remove(F.transform(state, put), gone)
 
-    def fold(ids):
-        folded = F.aggregate(F.sequence(F.lit(2), F.size(ids)), start(ids), step)
-        return F.when(F.size(ids) < 2, ids).otherwise(F.transform(folded, id_of))
+            return _let(F.transform(F.array(left, right), merged), renew)
 
-    return _let(F.transform(word, lambda b: F.get(alphabet, b.cast("int"))), fold).cast("array<int>")
+        return _let(F.array_min(state), lambda low: F.when(F.shiftright(low, 46) == _NONE, state).otherwise(_let(F.array_position(state, low).cast("int"), lambda at: merge(low, at))))
+
+    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(word) - 1, F.lit(1))), start(word), step)
+    return F.transform(folded, id_of).cast("array<int>")
 
 
 def _bytes_of(word):
@@ -150,33 +166,44 @@ def _bytes_of(word):
 # Splitting -----------------------------------------------------------------------------------------------------------
 
 #: The white space of the tokenizers' pattern: Unicode White_Space.
-_SPACE = r"\t-\r \x85\xa0  -     　"
-_ODD = re.compile(r"\s\s|[^\S \n]")
-_CHUNK = re.compile(r" ?[^ \n]+|[ \n]")
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def _class(name: str, upto: int = 0x250) -> str:
+    return "".join(re.escape(chr(i)) for i in range(upto) if regex.match(name, chr(i)))
 
 
 class Splitter:
-    """Words of a text by the tokenizer's pattern. Where white space is single blanks and line ends, no word crosses the
-    edge of a blank-led chunk, and chunks are split once and remembered; any other text is split as a whole."""
+    """Words of a text by the tokenizer's pattern. Texts of Latin letters go through the standard library's faster matcher,
+    where the classes of letters and numbers are written out and white space means the same."""
 
     def __init__(self, pattern: str):
-        pattern = pattern.replace(r"[^\s", f"[^{_SPACE}").replace(r"\S", f"[^{_SPACE}]").replace(r"\s", f"[{_SPACE}]")
-        self.words = regex.compile(pattern).findall
+        full = pattern.replace(r"[^\s", f"[^{_SPACE}").replace(r"\S", f"[^{_SPACE}]").replace(r"\s", f"[{_SPACE}]")
+        self.full = regex.compile(full).findall
+        self.latin = re.compile(full.replace(r"\p{L}+", f"[{_class(r'\p{L}')}]+").replace(r"\p{N}+", f"[{_class(r'\p{N}')}]+").replace(r"\p{L}", _class(r"\p{L}")).replace(r"\p{N}", _class(r"\p{N}"))).findall
+        self.other = re.compile("[\u0250-\U0010ffff]").search
 
-    def chunks(self, text: str) -> list[str]:
-        return self.words(text) if _ODD.search(text) else _CHUNK.findall(text)
+    def __call__(self, text: str) -> list[str]:
+        return self.full(text) if self.other(text) else self.latin(text)
 
 
-def _slices(texts: list, size: int = 1 << 21):
-    """Runs of texts of about ``size`` characters, so that a task's memory doesn't follow the batch."""
-    at = used = 0
-    for i, t in enumerate(texts):
-        used += len(t)
-        if used >= size:
-            yield texts[at : i + 1]
-            at, used = i + 1, 0
-    if at < len(texts):
-        yield texts[at:]
+def _slices(column, size: int = 1 << 21):
+    """Runs of an Arrow column of texts of about ``size`` bytes, as start and list, so that memory doesn't follow the batch."""
+    ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(column):
+        before = ends[at - 1] if at else 0
+        upto = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield at, column.slice(at, upto - at).to_pylist()
+        at = upto
+
+
+class _Numbers(dict):
+    """Numbers of words in the order in which they are met."""
+
+    def __missing__(self, word):
+        number = self[word] = len(self)
+        return number
 
 
 def word_counts(texts: DataFrame, pattern: str) -> DataFrame:
@@ -187,21 +214,16 @@ def word_counts(texts: DataFrame, pattern: str) -> DataFrame:
         seen: Counter = Counter()
 
         def flush():
-            words: Counter = Counter()
-            for chunk, n in seen.items():
-                for w in split.words(chunk):
-                    words[w] += n
-            seen.clear()
-            keys = list(words)
+            keys = list(seen)
             for i in range(0, len(keys), 50_000):
                 part = keys[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([w.encode() for w in part], pa.binary()), pa.array([words[w] for w in part], pa.int64())], ["word", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([w.encode() for w in part], pa.binary()), pa.array([seen[w] for w in part], pa.int64())], ["word", "n"])
+            seen.clear()
 
         for batch in batches:
-            for part in _slices(batch.column(0).to_pylist()):
-                for text in part:
-                    seen.update(split.chunks(text))
-                if len(seen) > 2 * _CHUNKS:
+            for _, part in _slices(batch.column(0)):
+                seen.update(chain.from_iterable(map(split, part)))
+                if len(seen) > 2 * _WORDS:
                     yield from flush()
         yield from flush()
 
@@ -261,7 +283,7 @@ class Vocabulary:
         return [x[:-1] for x in self._runs(self.decimals, ids, ends)]
 
 
-def encode(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id", text: str = "text", frequent: int = 3_000_000, render=None, schema: str = "ids array<int>") -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id", text: str = "text", frequent: int = 1_000_000, render=None, schema: str = "ids array<int>") -> DataFrame:
     """``(id, ids)`` for every row of ``docs``: the ids of its whole text by the rank file ``tokenizer``, every match of ``pattern``
     encoded separately, without special tokens.
 
@@ -272,6 +294,9 @@ def encode(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id"
     spark = docs.sparkSession
     ranks = read_ranks(tokenizer)
     table = RankMap(ranks)
+    # The rank map is a literal of some MB; without a bound every description of a plan would spell it out.
+    if int(spark.conf.get("spark.sql.maxPlanStringLength").rstrip("b")) > 1 << 24:
+        spark.conf.set("spark.sql.maxPlanStringLength", str(1 << 20))
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text), F.lit("")).alias("text"))
     scratch = Scratch(spark, "bpe")
     counts = scratch.keep(word_counts(rows.select("text"), pattern), "counts")
@@ -288,48 +313,38 @@ def encode(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id"
     del known, column
 
     def number(batches):
-        import zlib
-
-        import xxhash
-
         hashes, checks = index.value
         split = Splitter(pattern)
-        cache: dict[str, tuple] = {}
-        fresh: dict[bytes, int] = {}
-
-        def learn(chunks: set, new: list):
-            pieces = {c: [w.encode() for w in split.words(c)] for c in chunks}
-            words = list({w for ws in pieces.values() for w in ws})
-            hashed = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words)).view(np.int64)
-            crc = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
-            code = {}
-            at = np.minimum(np.searchsorted(hashes, hashed), max(len(hashes) - 1, 0))
+        local, codes_of, fresh = _Numbers(), np.empty(0, np.int32), {}
+
+        def learn(words: list) -> tuple[np.ndarray, list]:
+            """Codes of words, and the bytes of those that nobody has encoded yet."""
+            raw = [w.encode() for w in words]
+            hashed = np.fromiter(map(xxhash.xxh64_intdigest, raw, repeat(42)), np.uint64, len(raw)).view(np.int64)
+            crc = np.fromiter(map(zlib.crc32, raw), np.uint32, len(raw))
+            at = np.minimum(np.searchsorted(hashes, hashed), max(len(hashes) - 1, 0)).astype(np.int32)
             hit = (hashes[at] == hashed) & (checks[at] == crc) if len(hashes) else np.zeros(len(words), bool)
-            for w, i, known_word in zip(words, at.tolist(), hit.tolist()):
-                if known_word:
-                    code[w] = i
-                else:
-                    if w not in fresh:
-                        fresh[w] = n_known + len(fresh)
-                        new.append(w)
-                    code[w] = fresh[w]
-            for c, ws in pieces.items():
-                cache[c] = tuple(code[w] for w in ws)
+            new = []
+            for i in np.flatnonzero(~hit).tolist():
+                if words[i] not in fresh:
+                    fresh[words[i]] = n_known + len(fresh)
+                    new.append(raw[i])
+                at[i] = fresh[words[i]]
+            return at, new
 
         for batch in batches:
-            texts, done = batch.column(1).to_pylist(), 0
-            for part in _slices(texts):
-                chunks = [split.chunks(t) for t in part]
-                new: list[bytes] = []
-                if len(cache) > _CHUNKS:
-                    cache.clear()
-                learn(set().union(*chunks).difference(cache), new)
-                codes = [np.fromiter(chain.from_iterable(map(cache.__getitem__, c)), np.int32) for c in chunks]
-                flat, _, n = _ragged(codes, np.int32)
-                lists_ = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat))
+            for at, part in _slices(batch.column(1)):
+                if len(local) > _WORDS:
+                    local, codes_of = _Numbers(), codes_of[:0]
+                split_up = [split(t) for t in part]
+                sizes = np.fromiter(map(len, split_up), np.int64, len(part))
+                numbers = np.fromiter(map(local.__getitem__, chain.from_iterable(split_up)), np.int32, sizes.sum())
+                del split_up
+                met, new = learn(list(islice(local, len(codes_of), None)))
+                codes_of = np.concatenate([codes_of, met])
+                codes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(codes_of[numbers]))
                 first = [[list(w) for w in new]] + [[]] * (len(part) - 1)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(part)), lists_, pa.array(first, pa.list_(pa.list_(pa.int64())))], ["id", "codes", "fresh"])
-                done += len(part)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), codes, pa.array(first, pa.list_(pa.list_(pa.int64())))], ["id", "codes", "fresh"])
 
     out_names = [c.split()[0] for c in schema.split(", ")]
 
@@ -347,7 +362,7 @@ def encode(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id"
             codes = np.asarray(column.values)
             at = 0
             while at < len(column):
-                upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + 300_000, "right")) - 1)
+                upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + 50_000, "right")) - 1)
                 ids, ends = _gather(flat, starts, sizes, codes[offsets[at] : offsets[upto]])
                 ends = np.concatenate([[0], ends])[offsets[at + 1 : upto + 1] - offsets[at]]
                 if render:
