@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +29,13 @@ def hmac_pads(key: Column) -> Column:
     return let(F.rpad(F.upper(short), 128, "0"), lambda block: F.struct(_pad(block, 0x36).alias("inner"), _pad(block, 0x5C).alias("outer")))
 
 
+def constant_pads(key: bytes) -> Column:
+    """The same for a key that is known beforehand, as literals."""
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    flip = lambda v: F.lit(bytes(x ^ v for x in block))
+    return F.struct(flip(0x36).alias("inner"), flip(0x5C).alias("outer"))
+
+
 def hmac_of(pads: Column, message: Column) -> Column:
     return F.sha2(F.concat(pads["outer"], F.unhex(F.sha2(F.concat(pads["inner"], message), 256))), 256)
 

@@ -24,7 +24,6 @@ def regex_spans(text: Column, pattern: str | Column, kind: str) -> Column:
     """Every match with its offsets: texts between matches and matches, their lengths summed up."""
     rx = F.lit(pattern) if isinstance(pattern, str) else pattern
     matches, gaps = F.regexp_extract_all(text, rx, F.lit(0)), F.split(text, rx, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
 
     def add(state, pair):
         a = state["at"] + F.length(pair["g"])
@@ -32,8 +31,20 @@ def regex_spans(text: Column, pattern: str | Column, kind: str) -> Column:
         span = F.struct(a.alias("start"), b.alias("end"), F.lit(kind).alias("type"), pair["m"].alias("surface"), F.concat(F.lit(kind + "\u0001"), F.lower(pair["m"])).alias("ent"))
         return F.when(pair["m"].isNull(), state).otherwise(F.struct(b.alias("at"), F.concat(state["out"], F.array(span)).alias("out")))
 
+    # An array grows by copying, so matches are numbered in blocks and a long text costs no square of its matches.
+    def in_blocks(pairs: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / 64).cast("int")), lambda i: F.slice(pairs, i * 64 + 1, F.lit(64)))
+        width = lambda block: F.aggregate(block, F.lit(0), lambda s, p: s + F.length(p["g"]) + F.coalesce(F.length(p["m"]), F.lit(0)))
+
+        def placed(bs: Column) -> Column:
+            starts = F.aggregate(F.transform(bs, width), F.array(F.lit(0)), lambda acc, w: F.concat(acc, F.array(F.get(acc, F.size(acc) - 1) + w)))
+            start = lambda at: F.struct(at.alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+            return let(starts, lambda at: F.flatten(F.transform(bs, lambda block, i: F.aggregate(block, start(F.get(at, i)), add)["out"])))
+
+        return let(blocks, placed)
+
     pairs = F.zip_with(gaps, matches, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    return F.coalesce(F.aggregate(pairs, start, add)["out"], F.array().cast(f"array<{SPAN}>"))
+    return F.when(text.isNull(), F.array().cast(f"array<{SPAN}>")).otherwise(let(pairs, in_blocks))
 
 
 def resolve(spans: Column) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import unicodedata
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,8 +34,7 @@ def surface_norm(surface: Column) -> Column:
     return F.array_join(F.regexp_extract_all(F.lower(surface), F.lit(TOKEN), F.lit(0)), " ")
 
 
-@F.pandas_udf("string")
-def _strip_marks(texts: pd.Series) -> pd.Series:
+def _strip_marks(texts):
     def strip(t):
         return t if t is None or t.isascii() else "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn")
 
@@ -46,7 +44,7 @@ def _strip_marks(texts: pd.Series) -> pd.Series:
 def simple_words(text: Column) -> Column:
     """Lower case, numbers to 0, punctuation to blanks, no diacritics, split at white space."""
     plain = F.regexp_replace(F.regexp_replace(F.lower(text), NUMBER, "0"), r"[^\p{L}\p{N}_\s\u0085  -     　]|_", " ")
-    return F.filter(F.split(_strip_marks(plain), r"[\s\u0085   -     　]+"), lambda w: w != "")
+    return F.filter(F.split(F.pandas_udf(_strip_marks, "string", F.PandasUDFType.SCALAR)(plain), r"[\s\u0085   -     　]+"), lambda w: w != "")
 
 
 NORMALISERS = {"plain": tokens, "simple": simple_words}
@@ -71,13 +69,14 @@ def shingles_strict(words: Column, n: int = 5) -> Column:
 
 def keyed_shingles(words: Column, n: int, key: bytes) -> Column:
     """Shingle ids that only holders of ``key`` can compute: the first 8 bytes of HMAC-SHA256, little-endian, folded to 32 bits."""
-    from shinglemill.functions.keyed import hmac_sha256_hex
+    from shinglemill.functions.keyed import constant_pads, hmac_of
+
+    pads = constant_pads(key)
 
     def fold(s: Column) -> Column:
-        digest = hmac_sha256_hex(F.lit(key), s.cast("binary"))
-        byte = lambda i: F.conv(F.substring(digest, 2 * i + 1, 2), 16, 10).cast("bigint")
-        word = lambda a: sum((F.shiftleft(byte(a + i), 8 * i) for i in range(1, 4)), byte(a))
-        return word(0).bitwiseXOR(word(4))
+        # Folding xors byte i with byte i + 4, and the first byte of a pair is the lowest.
+        flip = lambda d, at: F.conv(F.concat(*(F.substring(d, at + i, 2) for i in (6, 4, 2, 0))), 16, 10).cast("bigint")
+        return let(hmac_of(pads, s.cast("binary")), lambda d: flip(d, 1).bitwiseXOR(flip(d, 9)))
 
     return F.array_distinct(F.transform(shingles_text(words, n), fold))
 
@@ -87,17 +86,18 @@ PRIME = 4_294_967_311
 BANDINGS = {"28x4": (28, 4), "16x7": (16, 7), "14x8": (14, 8), "8x14": (8, 14), "7x16": (7, 16)}
 
 
-def minhash_coefficients(count: int = 112, seed: int = 0) -> tuple[list[int], list[int]]:
+def minhash_coefficients(count: int = 112, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
     a = rng.integers(1, 2**31 - 1, count, dtype=np.uint64)
     b = rng.integers(0, 2**31 - 1, count, dtype=np.uint64)
-    return a.tolist(), b.tolist()
+    return a, b
 
 
-def minhash(ids: Column, a: list[int], b: list[int]) -> Column:
-    """The signature of a set of 32-bit ids."""
-    pairs = F.arrays_zip(F.array(*map(F.lit, a)).alias("a"), F.array(*map(F.lit, b)).alias("b"))
-    return F.transform(pairs, lambda c: F.array_min(F.transform(ids, lambda h: (h * c["a"].cast("bigint") + c["b"].cast("bigint")) % PRIME)))
+def minhash(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The signature of a set of 32-bit ids. As higher-order functions it would take a lambda call for each id and hash."""
+    ids, times, plus = ids.astype(np.uint64), a[:, None], b[:, None]
+    parts = [((times * ids[i : i + 8_192] + plus) % np.uint64(PRIME)).min(1) for i in range(0, len(ids), 8_192)]
+    return np.min(parts, axis=0).astype(np.int64)
 
 
 def bands(signature: Column, count: int, rows: int) -> Column:
