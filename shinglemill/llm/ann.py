@@ -12,6 +12,7 @@ Leaves and their queries meet in blocks of bounded size.
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ BLOCK, QUERY_BLOCK = 4_096, 512
 
 
 class KMeansTree:
-    def __init__(self, x: np.ndarray, branching: int = 8, leaf_points: int = 48, rounds: int = 8, seed: int = 9):
+    def __init__(self, x: np.ndarray, leaf_points: int, branching: int = 8, rounds: int = 8, seed: int = 9):
         self.centres, self.children, self.leaf = [x.mean(0) if len(x) else np.zeros(0)], [[]], [-1]
         self.leaves = 0
         rng = np.random.default_rng(seed)
@@ -102,7 +103,7 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
-def search(vectors: DataFrame, queries, k: int = 10, recall: float = 0.97, id_col: str = "vec_id", vector: str = "embedding", sample: int = 20_000, calibration: int = 200, seed: int = 3) -> DataFrame:
+def search(vectors: DataFrame, queries, k: int = 10, recall: float = 0.97, id_col: str = "vec_id", vector: str = "embedding", sample: int = 50_000, calibration: int = 200, seed: int = 3) -> DataFrame:
     """``(query_id, rank, id, score)``: the ``k`` nearest rows found for every row that the condition ``queries`` picks.
 
     score is the Euclidean distance in double precision on the vectors as given; ties go to the smaller id. A query's
@@ -125,8 +126,11 @@ def search(vectors: DataFrame, queries, k: int = 10, recall: float = 0.97, id_co
     classes = scratch.keep(classes, "classes")
 
     draw = F.xxhash64("cid", F.lit(seed))
-    picked = np.array([r["vector"] for r in classes.orderBy(draw, "cid").select("vector").limit(sample).collect()], np.float64).reshape(-1, d)
-    tree = KMeansTree(picked)
+    n = classes.count()
+    picked = classes.filter(draw / float(1 << 63) < 2 * min(1.0, 1.1 * sample / max(n, 1)) - 1).orderBy(draw, "cid").select("vector").limit(sample)
+    picked = _matrix(picked.toArrow()["vector"].combine_chunks()).reshape(-1, max(d, 1))
+    # About sqrt(n) / 2 leaves balance what a query spends on choosing leaves and on scanning them.
+    tree = KMeansTree(picked, max(16, math.ceil(2 * len(picked) / math.sqrt(max(n, 1)))))
     shared = spark.sparkContext.broadcast(tree)
 
     def file(batches):
@@ -160,20 +164,32 @@ def search(vectors: DataFrame, queries, k: int = 10, recall: float = 0.97, id_co
     return answers.select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
+#: Queries whose best candidates a task holds before it passes them on.
+_HELD = 20_000
+
+
 def _top(pairs: DataFrame, k: int) -> DataFrame:
+    """``(asking, cid, score)``: of all blocks that a task compares the k best of each query."""
+
     def run(batches):
+        best: dict[int, list] = {}
+
+        def flush():
+            rows = [(q, c, d) for q, mine in best.items() for d, c in mine]
+            best.clear()
+            flat = list(zip(*rows)) or [(), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(flat[0], pa.int64()), pa.array(flat[1], pa.int64()), pa.array(flat[2], pa.float64())], ["asking", "cid", "score"])
+
         for batch in batches:
-            q_ids, c_ids, scores = [], [], []
             for asked, held in zip(batch.column("asked"), batch.column("held")):
                 qs, hs = asked.values, held.values
                 cids = hs.field("cid").to_numpy()
-                x, q = _matrix(hs.field("vector")), _matrix(qs.field("vector"))
-                for cid, (at, dist) in zip(qs.field("cid").to_numpy(), nearest_rows(q, x, cids, k)):
-                    q_ids.append(np.full(len(at), cid))
-                    c_ids.append(cids[at])
-                    scores.append(dist)
-            flat = [np.concatenate(c) if c else np.empty(0) for c in (q_ids, c_ids, scores)]
-            yield pa.RecordBatch.from_arrays([pa.array(flat[0].astype(np.int64)), pa.array(flat[1].astype(np.int64)), pa.array(flat[2])], ["asking", "cid", "score"])
+                for q, (at, dist) in zip(qs.field("cid").to_pylist(), nearest_rows(_matrix(qs.field("vector")), _matrix(hs.field("vector")), cids, k)):
+                    found = list(zip(dist.tolist(), cids[at].tolist()))
+                    best[q] = heapq.nsmallest(k, best[q] + found) if q in best else found
+                if len(best) >= _HELD:
+                    yield flush()
+        yield flush()
 
     return pairs.mapInArrow(run, "asking long, cid long, score double")
 
