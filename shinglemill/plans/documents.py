@@ -261,6 +261,43 @@ def order_difference(spark, sf_dir):
     return D.removed_difference(keep("RAW"), keep("MASK"), docs)
 
 
+def orderings(spark, sf_dir):
+    """Deciding on one form of the texts and publishing another: what is detected, lost and linkable."""
+    docs = _corpus(spark, sf_dir, detector="rules")
+    out = None
+    for decided in ("RAW", "MASK", "SUR-DOC", "SUR-CORPUS"):
+        membership, hits = D.decide(docs, decided)
+        m = Scratch(spark, "orderings").keep(membership, "m")
+        score = M.score_membership(m, hits).first()
+        for published in ("SUR-DOC", "SUR-CORPUS"):
+            link = M.released_linkage(docs, m, published).first()
+            one = spark.createDataFrame([(decided, published, score["pipeline_recall"], score["lost"], score["kept"], link["truth"], link["predicted"], link["correct"])], "decided string, published string, recall double, lost long, kept long, link_truth long, link_predicted long, link_correct long")
+            out = one if out is None else out.unionByName(one)
+    return _rounded(out)
+
+
+def mixed_markers(spark, sf_dir):
+    """Detection when copies are marked by another detector than originals."""
+    docs = C.mixed_markers(_corpus(spark, sf_dir, detector="rules"), "contact")
+    out = None
+    for strategy in ("SUR-CORPUS", "SUR-DOC-SKIP", "MASK"):
+        one = M.copies_detected(D.decide(docs, strategy)[0]).agg(F.lit(strategy).alias("strategy"), F.count("*").alias("copies"), F.sum(F.col("detected").cast("long")).alias("detected"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def hashed_versus_full(spark, sf_dir):
+    rows = sim.hashed_versus_full(_corpus(spark, sf_dir))
+    return rows.agg(F.count("*").alias("pairs"), F.sum((F.col("full") != F.col("hashed")).cast("long")).alias("differ"), F.round(F.max(F.abs(F.col("full") - F.col("hashed"))), 6).alias("most"))
+
+
+def graph_comparison(spark, sf_dir):
+    """Edges of the graphs on checksums and on shingle texts."""
+    docs = _work(spark, sf_dir)
+    edges = lambda hashed: sim.jaccard_pairs(sim.shingle_sets(docs, 5, hashed=hashed), THETA)
+    return sim.compare_graphs(edges(True), edges(False))
+
+
 def union_partition(spark, sf_dir):
     docs = _work(spark, sf_dir)
     first, second = D.decide(docs, "RAW")[0], D.decide(docs, "MASK", 0.5)[0]
@@ -374,7 +411,7 @@ QUERIES = {
     "tokens": tokens, "simple_words": simple_words, "shingles_n2": _shingle_query(2), "shingles_n3": _shingle_query(3), "shingles_n5": _shingle_query(5), "strict_shingles": strict_shingles,
     "collision_inventory": collision_inventory, "keyed_shingles": keyed_shingles, "containment": containment, "contained_in": contained_in, "signature_bands": signature_bands,
     "band_pairs": band_pairs, "random_pair_similarity": random_pair_similarity, "minhash_bandings": minhash_bandings, "order_difference": order_difference,
-    "union_partition": union_partition, "paragraph_dedup": paragraph_dedup, "released_linkage": released_linkage, "false_merges": false_merges, "dose": dose, "screening": screening,
+    "union_partition": union_partition, "orderings": orderings, "mixed_markers": mixed_markers, "hashed_versus_full": hashed_versus_full, "graph_comparison": graph_comparison, "paragraph_dedup": paragraph_dedup, "released_linkage": released_linkage, "false_merges": false_merges, "dose": dose, "screening": screening,
     "predictor_summary": predictor_summary, "marking_conditions": marking_conditions, "touched_recall": touched_recall, "exposure": exposure, "category_ablation": category_ablation,
     "removal_skew": removal_skew, "word_summary": word_summary, "paired_bootstrap": paired_bootstrap, "cosine_threshold": cosine_threshold,
 }

@@ -87,6 +87,19 @@ def test_similarity_join_is_exact(spark):
         sim.similar_classes(df, 0)
 
 
+def test_forced_collision(spark):
+    docs = work(spark, ["a b c d e", "f g h i j"], [0, 0], [False, True])
+    r = sim.hashed_versus_full(docs, lambda s: F.lit(1)).first()
+    assert (r["full"], r["hashed"]) == (0.0, 1.0)
+    edges = lambda *e: spark.createDataFrame(list(e), "i long, j long")
+    assert tuple(sim.compare_graphs(edges((0, 1), (1, 2)), edges((0, 1))).first()) == (1, 1, 0)
+
+
+def test_mixed_markers(spark):
+    docs = C.mixed_markers(work(spark, ["Alice x", "Alice a@b.org"], [0, 0], [False, True]), "contact")
+    assert [[s["surface"] for s in r["spans"]] for r in docs.orderBy("idx").collect()] == [["Alice"], ["a@b.org"]]
+
+
 def test_paragraphs_and_copies(spark):
     docs = work(spark, ["a Alice\n\nb Alice\nc\n", "", "x"], [0, 1, 2], [False] * 3)
     ps = docs.select(C.paragraphs(F.col("text")).alias("p")).collect()
