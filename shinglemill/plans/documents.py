@@ -483,7 +483,6 @@ SELECT doc_id, CASE WHEN contains(x, '@') THEN 'EMAIL_ADDRESS' WHEN regexp_full_
     "release_drop": _release_sql(f"regexp_replace(text, '{_ANY}', '', 'g')"),
     "release_mask": _release_sql(f"regexp_replace(text, '{_ANY}', '[PII]', 'g')"),
     "release_type": _release_sql(f"regexp_replace(regexp_replace(regexp_replace(text, '{_EMAIL}', '[EMAIL_ADDRESS]', 'g'), '{_IP}', '[IP_ADDRESS]', 'g'), '{_PHONE}', '[PHONE_NUMBER]', 'g')"),
-    "release_hash_collapsed": _release_sql(rf"regexp_replace(regexp_replace(text, '{_ANY}', '[PII]', 'g'), '\b[0-9a-f]{{64}}\b', '[PII]', 'g')"),
     "release_alias_collapsed": _release_sql(f"regexp_replace(regexp_replace(regexp_replace(text, '{_EMAIL}', '[EMAIL_ADDRESS]', 'g'), '{_IP}', '[IP_ADDRESS]', 'g'), '{_PHONE}', '[PHONE_NUMBER]', 'g')"),
     "tokens": f"SELECT doc_id, len(w)::BIGINT AS n_tokens, md5(array_to_string(w, ' ')) AS tokens_md5 FROM (SELECT doc_id, {_TOKENS} AS w FROM documents)",
     "shingles_n2": _shingle_sql(2),
