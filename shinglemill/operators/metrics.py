@@ -9,6 +9,7 @@ from shinglemill.functions import spans as S
 from shinglemill.functions import text as T
 from shinglemill.functions.release import mention_releases, release
 from shinglemill.operators.similarity import shingle_sets
+from shinglemill.scratch import Scratch
 
 EPS = 1e-9
 
@@ -106,7 +107,7 @@ def window_sets(docs: DataFrame, n: int = 5) -> DataFrame:
 def dose(docs: DataFrame, strategies: tuple = ("SUR-DOC", "HASH-ENTITY", "FAKER-DOC"), n: int = 5) -> DataFrame:
     """For every copy: the share of shingles that marking touches, similarity as it is, as predicted after document-scoped
     replacement, (1 - m) J / (1 + m J), and as observed under each strategy."""
-    w = window_sets(docs, n)
+    w = Scratch(docs.sparkSession, "dose").keep(window_sets(docs, n), "windows")
     o = w.filter("not is_copy").select("case", F.col("every").alias("oa"), F.col("unmarked").alias("ou"))
     both = w.filter("is_copy").join(o, "case").withColumn("s", F.array_intersect("oa", "every"))
     rest = F.size(F.array_intersect(F.array_intersect("s", "ou"), F.col("unmarked")))
@@ -117,7 +118,7 @@ def dose(docs: DataFrame, strategies: tuple = ("SUR-DOC", "HASH-ENTITY", "FAKER-
     rows = rows.withColumn("j_pred", form("m_doc")).withColumn("j_pred_shared", form("m_shared"))
     for s in strategies:
         name = "j_" + s.lower().replace("-", "_")
-        sets = docs.select("idx", "case", "is_copy").join(shingle_sets(docs, n, s), "idx")
+        sets = docs.select("idx", "case", "is_copy").join(Scratch(docs.sparkSession, "dose").keep(shingle_sets(docs, n, s), "sets"), "idx")
         first = sets.filter("not is_copy").select("case", F.col("set").alias("so"))
         rows = rows.join(sets.filter("is_copy").join(first, "case").select("idx", T.jaccard(F.col("so"), F.col("set")).alias(name)), "idx")
     return rows
@@ -200,6 +201,7 @@ def exposure(docs: DataFrame, found: str, strategy: str = "FAKER-DOC", most: int
     gold = S.of_types(F.col("spans"), ["PERSON", "ORG", "LOC"])
     leak = F.filter(S.name_tokens(F.col("text")), lambda s: S.overlaps(s["start"], s["end"], gold) & ~S.overlaps(s["start"], s["end"], F.col(found)))
     d = docs.select("idx", "case", "is_copy", names(rel).alias("rel"), names(F.col("text")).alias("raw"), F.array_distinct(F.transform(leak, lambda s: s["surface"])).alias("leak"))
+    d = Scratch(docs.sparkSession, "exposure").keep(d, "names")
     rare = d.select(F.explode("rel").alias("t")).groupBy("t").count().filter(F.col("count") <= most).select("t")
     c = d.filter("is_copy").select("case", F.col("idx").alias("copy"), F.col("rel").alias("crel"), F.col("raw").alias("craw"))
     pairs = d.filter("not is_copy").join(c, "case")
