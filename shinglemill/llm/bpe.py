@@ -28,12 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shinglemill.llm.memory import small_batches, trim, trimmed
 from shinglemill.scratch import Scratch
 
 #: Bits of a token id in a packed entry; an id that stands for "no merge".
 _ID, _NONE = 17, (1 << 17) - 1
 #: Words whose numbers, or counts, a task holds at once.
-_WORDS = 200_000
+_WORDS = 100_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -187,7 +188,7 @@ class Splitter:
         return self.full(text) if self.other(text) else self.latin(text)
 
 
-def _slices(column, size: int = 1 << 21):
+def _slices(column, size: int = 1 << 20):
     """Runs of an Arrow column of texts of about ``size`` bytes, as start and list, so that memory doesn't follow the batch."""
     ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
@@ -227,7 +228,7 @@ def word_counts(texts: DataFrame, pattern: str) -> DataFrame:
                     yield from flush()
         yield from flush()
 
-    return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(trimmed(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 # Encoding ------------------------------------------------------------------------------------------------------------
@@ -283,7 +284,7 @@ class Vocabulary:
         return [x[:-1] for x in self._runs(self.decimals, ids, ends)]
 
 
-def encode(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id", text: str = "text", frequent: int = 1_000_000, render=None, schema: str = "ids array<int>") -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id", text: str = "text", frequent: int = 700_000, render=None, schema: str = "ids array<int>") -> DataFrame:
     """``(id, ids)`` for every row of ``docs``: the ids of its whole text by the rank file ``tokenizer``, every match of ``pattern``
     encoded separately, without special tokens.
 
@@ -292,6 +293,7 @@ def encode(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id"
     occur. ``render(ids, ends)`` may turn a run of documents' ids into the columns of ``schema`` in place of ``ids``.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     ranks = read_ranks(tokenizer)
     table = RankMap(ranks)
     # The rank map is a literal of some MB; without a bound every description of a plan would spell it out.
@@ -303,14 +305,16 @@ def encode(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id"
     words = _frequent(counts, frequent).select("word", _bytes_of(F.col("word")).alias("bytes"))
     known = scratch.keep(words.select(F.xxhash64("word").alias("hash"), F.crc32("word").alias("check"), encode_word(F.col("bytes"), table).alias("ids")), "known").toArrow()
     scratch.drop("counts", "known")
-    order = np.argsort(known["hash"].to_numpy())
-    column = known["ids"].combine_chunks()
-    starts = np.asarray(column.offsets)[:-1].astype(np.int64)
-    sizes = np.diff(np.asarray(column.offsets))
-    index = spark.sparkContext.broadcast((known["hash"].to_numpy()[order], known["check"].to_numpy().astype(np.uint32)[order]))
-    lists = spark.sparkContext.broadcast((np.asarray(column.values).astype(np.int32), starts[order], sizes[order].astype(np.int64)))
+    hashed, checks = known["hash"].to_numpy(), known["check"].to_numpy().astype(np.uint32)
+    sizes = pc.list_value_length(known["ids"]).to_numpy().astype(np.int64)
+    flat = np.concatenate([np.asarray(c.flatten()) for c in known["ids"].chunks] or [np.empty(0, np.int32)])
+    del known
+    order = np.argsort(hashed)
     n_known = len(order)
-    del known, column
+    index = spark.sparkContext.broadcast((hashed[order], checks[order]))
+    lists = spark.sparkContext.broadcast((flat, (np.cumsum(sizes) - sizes)[order], sizes[order]))
+    del hashed, checks, sizes, flat, order
+    trim()
 
     def number(batches):
         hashes, checks = index.value
@@ -373,9 +377,9 @@ def encode(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id"
                 at = upto
 
     kind = dict(docs.dtypes)[id_col]
-    numbered = rows.mapInArrow(number, f"id {kind}, codes array<int>, fresh array<array<bigint>>")
+    numbered = rows.mapInArrow(trimmed(number), f"id {kind}, codes array<int>, fresh array<array<bigint>>")
     encoded = numbered.select("id", "codes", F.transform("fresh", lambda w: encode_word(w, table)).alias("encoded"))
-    return encoded.mapInArrow(join, f"`{id_col}` {kind}, {schema}")
+    return encoded.mapInArrow(trimmed(join), f"`{id_col}` {kind}, {schema}")
 
 
 def decode(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids: str = "ids") -> DataFrame:

@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shinglemill.llm.memory import small_batches, trimmed
 from shinglemill.operators.components import connected_components
 from shinglemill.scratch import Scratch
 
@@ -26,7 +27,7 @@ from shinglemill.scratch import Scratch
 BLOCK = 2_048
 #: Ids of candidates are broadcast to the scan of texts up to this many (16 bytes each), beyond it joined.
 BROADCAST_IDS = 1_000_000
-_BITS, _MEMO = 1_024, 400_000
+_BITS, _MEMO = 1_024, 200_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SCHEMA = "doc_id long, tfp long, n long, hi long, lo long, a array<long>, b array<long>, bits array<long>"
 
@@ -108,7 +109,7 @@ def _sketches(docs: DataFrame, sketcher: Sketcher) -> DataFrame:
             types = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 3
             yield pa.RecordBatch.from_arrays([ids, prints, *(pa.array(c, t) for c, t in zip(columns, types))], ["doc_id", "tfp", "n", "hi", "lo", "a", "b", "bits"])
 
-    return docs.mapInArrow(run, _SCHEMA)
+    return docs.mapInArrow(trimmed(run), _SCHEMA)
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
@@ -139,7 +140,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scratch
                     found.append((x, y))
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["x", "y"])
 
-    return scratch.keep(joined.select("x", "y", "tx", "ty").mapInArrow(run, "x long, y long"), f"{name}-links")
+    return scratch.keep(joined.select("x", "y", "tx", "ty").mapInArrow(trimmed(run), "x long, y long"), f"{name}-links")
 
 
 def _apart(members: DataFrame, percent: int) -> DataFrame:
@@ -167,7 +168,7 @@ def _apart(members: DataFrame, percent: int) -> DataFrame:
                     ys.append(np.maximum(x, y))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(xs)), pa.array(np.concatenate(ys))], ["x", "y"])
 
-    return members.mapInArrow(run, "x long, y long").distinct()
+    return members.mapInArrow(trimmed(run), "x long, y long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, collections: int = 7, rows: int = 2, seed: int = 11) -> DataFrame:
@@ -179,6 +180,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     that repeat an id are one document. Other columns are ignored. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "near-duplicates")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tfp"), F.col(text).alias("text"))
     sketches = scratch.keep(_sketches(docs, Sketcher(words, collections, rows, seed)), "sketches")

@@ -9,10 +9,12 @@ offsets are added up beforehand into one table of class pairs, which halves the
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shinglemill.llm.memory import small_batches, trim
+
 WIDTHS, FILTERS, WINDOW, CLASSES = (2, 3, 4), 12, 256, 64
 #: Languages that a model can learn; rarer ones beyond it are left out.
 MAX_LANGUAGES = 200
@@ -155,6 +157,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_language:
             y.append(languages.index(language))
     model = ByteConvNet(languages)
     model.fit(np.array(x), np.array(y))
+    trim()
     return model.freeze()
 
 
@@ -165,35 +168,47 @@ def identify(docs: DataFrame, model: ByteConvNet | None, text: str = "text", kee
     null or has no letter is ``und`` with score 0, as is every text where the model is None. Columns of ``docs`` named like
     the new ones are replaced. An empty table gives no rows.
     """
-    keep = [c for c in (keep if keep is not None else docs.columns) if c not in ("lang_pred", "lang_score")]
-    base = docs.select(*keep, F.col(text).alias("_text"))
-    und = base.withColumn("lang_pred", F.lit("und")).withColumn("lang_score", F.lit(0.0)).drop("_text")
+    keep = [c for c in (keep if keep is not None else docs.columns) if c.lower() not in ("lang_pred", "lang_score")]
+    body, found, lettered = (unused(name, docs.columns) for name in ("_text", "_found", "_letters"))
+    base = docs.select(*keep, F.col(text).alias(body))
     if model is None:
-        return und
+        return base.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("lang_score"))
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     classes = byte_classes()
 
-    @F.pandas_udf("lang_pred string, lang_score double")
-    def score(texts):
-        import pandas as pd
-
-        net = shared.value
+    def score_all(net, texts):
         raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
         data = np.frombuffer(b"".join(raw), np.uint8)
         ends = np.cumsum([len(r) for r in raw], dtype=np.int64)
         doc, first, length = windows_of(data, ends - np.array([len(r) for r in raw]), ends, classes)
         total = np.zeros((len(raw), len(net.languages)))
-        for at in range(0, len(doc), 4096):
-            p = net.probabilities(_cut(data, first[at : at + 4096], length[at : at + 4096], classes))
-            weight = np.maximum(length[at : at + 4096], 1)[:, None]
-            np.add.at(total, doc[at : at + 4096], p * weight)
+        for at in range(0, len(doc), 1024):
+            p = net.probabilities(_cut(data, first[at : at + 1024], length[at : at + 1024], classes))
+            weight = np.maximum(length[at : at + 1024], 1)[:, None]
+            np.add.at(total, doc[at : at + 1024], p * weight)
         total /= total.sum(1, keepdims=True)
         best = total.argmax(1)
         return pd.DataFrame({"lang_pred": np.array(net.languages, object)[best], "lang_score": np.minimum(total.max(1), 1.0)})
 
-    letters = F.coalesce(F.col("_text").rlike(r"\p{L}"), F.lit(False))
-    scored = base.withColumn("_found", score("_text")).withColumn("_letters", letters)
-    return scored.select(*keep, F.when(F.col("_letters"), F.col("_found.lang_pred")).otherwise("und").alias("lang_pred"), F.when(F.col("_letters"), F.col("_found.lang_score")).otherwise(0.0).alias("lang_score"))
+    def score(parts):
+        for texts in parts:
+            yield score_all(shared.value, texts)
+        trim()
+
+    score = F.pandas_udf(score, "lang_pred string, lang_score double", F.PandasUDFType.SCALAR_ITER)
+
+    letters = F.coalesce(F.col(body).rlike(r"\p{L}"), F.lit(False))
+    scored = base.withColumn(found, score(body)).withColumn(lettered, letters)
+    value = lambda field, otherwise: F.when(F.col(lettered), F.col(found)[field]).otherwise(otherwise)
+    return scored.select(*keep, value("lang_pred", "und").alias("lang_pred"), value("lang_score", 0.0).alias("lang_score"))
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, longer where ``columns`` have it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
 
 
 def held_out(id_col: str, parts: int, part: int):

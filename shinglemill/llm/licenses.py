@@ -16,6 +16,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shinglemill.llm.memory import small_batches
+
 #: Names of licenses and the usual wording of their notices.
 NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -131,6 +133,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", notices=NO
     and empty texts have no notices. Repeated rows give repeated findings; other columns are ignored; an empty table
     gives no rows.
     """
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     marked = docs.select(F.col(id_col), F.col(text).alias("_text")).filter(F.col("_text").rlike(SIGNS))
 

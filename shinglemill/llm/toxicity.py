@@ -17,12 +17,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shinglemill.llm.langid import held_out
+from shinglemill.llm.langid import held_out, unused
+from shinglemill.llm.memory import small_batches, trim
 
 HASHED, DIM, HIDDEN = 1 << 15, 12, 8
 WINDOW, STRIDE = 64, 48
 #: Distinct words whose inputs a task remembers.
-_WORDS = 200_000
+_WORDS = 100_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -31,7 +32,7 @@ def words_of(text: str | None) -> list[str]:
 
 
 def _grams(words: list[bytes]):
-    """Hashes of the byte 3- and 4-grams of every word between edge marks, and each gram's word."""
+    """Hashes of the byte 3- and 4-grams of every word between edge marks, by word, and how many each has."""
     data = np.frombuffer(b"".join(b"\x02" + w + b"\x03" for w in words), np.uint8).astype(np.int64)
     size = np.fromiter(map(len, words), np.int64, len(words)) + 2
     word = np.repeat(np.arange(len(words)), size)
@@ -45,24 +46,40 @@ def _grams(words: list[bytes]):
         hashes.append(((h * 2_654_435_761) >> 13) % HASHED)
         owners.append(word[ok])
     h, o = np.concatenate(hashes), np.concatenate(owners)
-    order = np.argsort(o, kind="stable")
-    return h[order], o[order]
+    return h[np.argsort(o, kind="stable")].astype(np.uint16), np.bincount(o, minlength=len(words))
 
 
 class Words:
-    """Hash rows of distinct words: row of the word table, and runs of rows of the gram table."""
+    """Hash rows of distinct words: row of the word table, and runs of rows of the gram table. All in blocks, as a word has
+    many grams."""
+
+    block = 4_096
 
     def __init__(self, words: list[str]):
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        self.rows = np.fromiter((zlib.crc32(w) % HASHED for w in raw), np.int64, len(raw))
-        self.grams, self.owner = _grams(raw)
-        self.scale = (1 / np.sqrt(np.maximum(np.bincount(self.owner, minlength=len(raw)), 1))).astype(np.float32)
-
-    def inputs(self, e_word, e_gram):
-        x = e_word[self.rows]
-        if len(self.grams):
-            starts = np.flatnonzero(np.r_[True, self.owner[1:] != self.owner[:-1]])
-            x[self.owner[starts]] += np.add.reduceat(e_gram[self.grams], starts, 0) * self.scale[self.owner[starts], None]
+        self.rows = np.fromiter((zlib.crc32(w) % HASHED for w in raw), np.int32, len(raw))
+        parts = [_grams(raw[i : i + self.block]) for i in range(0, len(raw), self.block)]
+        self.grams = np.concatenate([g for g, _ in parts]) if parts else np.empty(0, np.uint16)
+        self.counts = np.concatenate([n for _, n in parts]) if parts else np.empty(0, np.int64)
+        self.starts = np.cumsum(self.counts) - self.counts
+        self.scale = (1 / np.sqrt(np.maximum(self.counts, 1))).astype(np.float32)
+
+    def __len__(self):
+        return len(self.rows)
+
+    def of(self, word: int) -> np.ndarray:
+        return self.grams[self.starts[word] : self.starts[word] + self.counts[word]]
+
+    def inputs(self, e_word, e_gram, first: int = 0, last: int | None = None):
+        """Inputs of the words ``first`` to ``last``."""
+        last = len(self) if last is None else last
+        x = e_word[self.rows[first:last]]
+        for at in range(first, last, self.block):
+            some = np.arange(at, min(at + self.block, last))
+            some = some[self.counts[some] > 0]
+            if len(some):
+                begin, end = self.starts[some[0]], self.starts[some[-1]] + self.counts[some[-1]]
+                x[some - first] += np.add.reduceat(e_gram[self.grams[begin:end]], self.starts[some] - begin, 0) * self.scale[some, None]
         return x
 
 
@@ -79,8 +96,12 @@ class AttentiveGru:
 
     def project(self, words: Words) -> np.ndarray:
         """Inputs of the gates of both directions, a row of 6 * HIDDEN for each word."""
-        x = words.inputs(self.w["word"], self.w["gram"])
-        return np.concatenate([x @ self.w["wx"][d] + self.w["b"][d] for d in (0, 1)], 1)
+        out = np.empty((len(words), 6 * HIDDEN), np.float32)
+        for at in range(0, len(words), 16_384):
+            x = words.inputs(self.w["word"], self.w["gram"], at, min(at + 16_384, len(words)))
+            for d in (0, 1):
+                out[at : at + len(x), d * 3 * HIDDEN : (d + 1) * 3 * HIDDEN] = x @ self.w["wx"][d] + self.w["b"][d]
+        return out
 
     def _run(self, gates: np.ndarray, ids: np.ndarray, mask: np.ndarray, trace: list | None = None):
         """gates: rows by word; ids, mask: window by step. Hidden states of both directions by step."""
@@ -153,7 +174,7 @@ class AttentiveGru:
         g["word"], g["gram"] = np.zeros_like(w["word"]), np.zeros_like(w["gram"])
         np.add.at(g["word"], words.rows, dword)
         if len(words.grams):
-            np.add.at(g["gram"], words.grams, (dword * words.scale[:, None])[words.owner])
+            np.add.at(g["gram"], words.grams, np.repeat(dword * words.scale[:, None], words.counts, axis=0))
         for k in ("word", "gram"):
             # One scale for the whole table: an entry moves by what it has seen, not by how rarely it is seen; it fades unless renewed.
             grad, m2 = g.pop(k) * self.learned[k][:, None], moments[k][1]
@@ -204,12 +225,11 @@ class AttentiveGru:
     def _choose_learned(self, every: Words, coded: list[np.ndarray]) -> None:
         """Rows of the tables that occur in enough texts."""
         least = max(3, len(coded) // 300)
-        starts = np.searchsorted(every.owner, np.arange(len(every.rows) + 1))
         seen = {"word": np.zeros(HASHED, np.int64), "gram": np.zeros(HASHED, np.int64)}
         for words in coded:
             words = np.unique(words)
             seen["word"][np.unique(every.rows[words])] += 1
-            runs = [every.grams[starts[i] : starts[i + 1]] for i in words]
+            runs = [every.of(i) for i in words]
             if runs:
                 seen["gram"][np.unique(np.concatenate(runs))] += 1
         self.learned = {k: (n >= least).astype(np.float32) for k, n in seen.items()}
@@ -243,7 +263,7 @@ def cut_windows(coded: list[np.ndarray]):
     return np.where(mask, ids, 0), mask.astype(np.float32), doc
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", per_class: int = 1_200, clean_per_toxic: int = 3, most_chars: int = 4_000, seed: int = 8) -> AttentiveGru | None:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", per_class: int = 900, clean_per_toxic: int = 3, most_chars: int = 4_000, seed: int = 8) -> AttentiveGru | None:
     """A network from at most ``per_class`` toxic documents and ``clean_per_toxic`` times as many clean ones, each of at most
     ``most_chars`` characters, chosen by hash. labels: id, ``toxic``; null marks are ignored. None where a class has no document."""
     marked = labels.filter(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max("toxic").alias("toxic"))
@@ -266,6 +286,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
         marks += [mark] * len(chosen)
     model = AttentiveGru()
     model.fit(texts, np.array(marks))
+    del texts, sample
+    trim()
     return model
 
 
@@ -273,14 +295,14 @@ class Scorer:
     """Scores texts with the inputs of distinct words remembered."""
 
     def __init__(self, model: AttentiveGru):
-        self.model, self.known, self.gates = model, {}, np.empty((0, 6 * HIDDEN), np.float32)
+        self.model, self.known, self.gates = model, {}, np.empty((_WORDS, 6 * HIDDEN), np.float32)
 
     def __call__(self, texts: list) -> np.ndarray:
         out = np.zeros(len(texts))
         at = 0
         while at < len(texts):
             upto, size, split = at, 0, []
-            while upto < len(texts) and size < 200_000:
+            while upto < len(texts) and size < 100_000:
                 split.append(words_of(texts[upto]))
                 size += len(split[-1])
                 upto += 1
@@ -289,12 +311,17 @@ class Scorer:
         return out
 
     def _score(self, split: list[list[str]]) -> np.ndarray:
-        if len(self.known) > _WORDS:
-            self.known, self.gates = {}, np.empty((0, 6 * HIDDEN), np.float32)
-        new = [w for w in dict.fromkeys(chain.from_iterable(split)) if w not in self.known]
-        if new:
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            self.gates = np.concatenate([self.gates, self.model.project(Words(new))])
+        words = dict.fromkeys(chain.from_iterable(split))
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > len(self.gates):
+            self.known, new = {}, list(words)
+            if len(new) > len(self.gates):  # a single text of very many words
+                self.gates = np.empty((len(new), 6 * HIDDEN), np.float32)
+        first = len(self.known)
+        self.known.update(zip(new, range(first, first + len(new))))
+        for at in range(0, len(new), 8_192):
+            part = new[at : at + 8_192]
+            self.gates[first + at : first + at + len(part)] = self.model.project(Words(part))
         coded = [np.fromiter(map(self.known.__getitem__, ws), np.int64, len(ws)) for ws in split]
         ids, mask, doc = cut_windows(coded)
         top = np.full(len(split), -np.inf)
@@ -308,19 +335,23 @@ def score_toxicity(docs: DataFrame, model: AttentiveGru | None, text: str = "tex
     A null text, and one without words, scores 0, as does every text where the model is None. Columns named like the new ones
     are replaced. An empty table gives no rows.
     """
-    keep = [c for c in (keep if keep is not None else docs.columns) if c not in ("toxicity", "toxic_pred")]
-    base = docs.select(*keep, F.col(text).alias("_text"))
+    keep = [c for c in (keep if keep is not None else docs.columns) if c.lower() not in ("toxicity", "toxic_pred")]
+    body = unused("_text", docs.columns)
+    base = docs.select(*keep, F.col(text).alias(body))
     if model is None:
-        return base.withColumn("toxicity", F.lit(0.0)).withColumn("toxic_pred", F.lit(0)).drop("_text")
+        return base.select(*keep, F.lit(0.0).alias("toxicity"), F.lit(0).alias("toxic_pred"))
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(parts):
         scorer = Scorer(shared.value)
         for texts in parts:
             yield pd.Series(scorer(texts.tolist()))
+        del scorer
+        trim()
 
     score = F.pandas_udf(score, "double", F.PandasUDFType.SCALAR_ITER)
-    scored = base.withColumn("toxicity", score("_text")).drop("_text")
+    scored = base.withColumn("toxicity", score(body)).drop(body)
     return scored.withColumn("toxic_pred", (F.col("toxicity") >= threshold).cast("int"))
 
 

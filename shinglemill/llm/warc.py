@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shinglemill.llm.memory import small_batches, trimmed
 from shinglemill.scratch import Scratch
 
 #: Keys of repeated payloads are broadcast up to this many (about 60 bytes each), beyond it joined.
@@ -82,6 +83,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url: st
     revisits; rows that repeat that id are responses too, and a null id revisits any other. Files stay below
     ``segment_bytes * records_per_file`` bytes and headers, whatever a page holds.
     """
+    small_batches(pages.sparkSession)
     body = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url).cast("string").alias("url"), body.alias("payload"), F.unhex(F.sha1(body)).alias("digest"))
     keys = rows.filter(F.octet_length("payload") >= least).select("id", "digest")
@@ -102,7 +104,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url: st
                     out = []
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
-    lines = rows.mapInArrow(build, "record binary").select(F.col("record").cast("string").alias("value"))
+    lines = rows.mapInArrow(trimmed(build), "record binary").select(F.col("record").cast("string").alias("value"))
     lines.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).mode("errorifexists").text(path)
     scratch.drop("repeated")
 
@@ -153,7 +155,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names)
 
-    raw = files.mapInArrow(split, _RAW)
+    raw = files.mapInArrow(trimmed(split), _RAW)
     head = F.struct("type", "id", "url", "digest")
     cut = raw.filter("origin is not null").groupBy("origin").agg(
         F.first(F.when(F.col("number") == 1, head), ignorenulls=True).alias("head"), F.max("total").alias("total"), F.array_sort(F.collect_list(F.struct("number", "block"))).alias("parts")
