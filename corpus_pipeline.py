@@ -18,6 +18,16 @@ ORACLE_SQL = None
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+#: Rows of ids (at most 16 bytes each) up to which they are broadcast to the texts; beyond it both sides are shuffled.
+BROADCAST_IDS = 1_000_000
+
+
+def _side(spark: SparkSession, ids: DataFrame, name: str) -> DataFrame:
+    """``ids`` written and counted, broadcast where they are few enough, so that texts needn't be shuffled."""
+    ids = Scratch(spark, "pipeline-side").keep(ids, name)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: null texts and texts without a letter. Others keep their row; ``lang`` becomes the
     predicted language where it was null."""
@@ -40,8 +50,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     row of an id that repeats. Rows without an id are kept."""
     kept = dedup.near_duplicates(docs, words=5, percent=80).filter("kept and doc_id is not null").select("doc_id").distinct()
     whole = docs.select(*COLUMNS)
-    chosen = whole.join(kept, "doc_id", "left_semi")
-    repeated = chosen.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    chosen = whole.join(_side(spark, kept, "kept"), "doc_id", "left_semi")
+    repeated = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
+    repeated = Scratch(spark, "pipeline-side").keep(repeated, "repeated")
+    if repeated.isEmpty():
+        return chosen.unionByName(whole.filter("doc_id is null"))
     single, many = chosen.join(repeated, "doc_id", "left_anti"), chosen.join(repeated, "doc_id", "left_semi")
     return single.select(*COLUMNS).unionByName(many.dropDuplicates(["doc_id"]).select(*COLUMNS)).unionByName(whole.filter("doc_id is null"))
 
@@ -49,6 +62,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or leaves out documents so that sources have their target tokens. Rows without an id share a number of copies."""
     copies = mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").alias("copies")).filter("copies > 0")
+    copies = _side(spark, copies, "copies")
     taken = docs.select(*COLUMNS).join(copies, docs["doc_id"].eqNullSafe(copies["doc_id"])).drop(copies["doc_id"])
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
