@@ -73,19 +73,20 @@ def word_differences(notice: list[str], block: list[str]) -> tuple[int, int, int
 
 
 class Scanner:
-    def __init__(self, notices=NOTICES, level: int = 3, tries: int = 3, least_gain: float = 0.15, tolerance: float = 0.15):
-        self.notices, self.tries, self.least_gain, self.tolerance = notices, tries, least_gain, tolerance
+    def __init__(self, notices=NOTICES, level: int = 3, tries: int = 3, tolerance: float = 0.15):
+        self.notices, self.tries, self.tolerance = notices, tries, tolerance
         self.words = [_words(text)[0] for _, text in notices]
         self.plain = zstandard.ZstdCompressor(level=level, write_content_size=False)
         self.primed = [zstandard.ZstdCompressor(level=level, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, text in notices]
         self.memo: dict = {}
 
     def rank(self, block: str) -> list[tuple[float, int]]:
-        """Notices by the share of the block's compressed size that they save as a dictionary, the best first."""
+        """Notices by the share of the block's compressed size that they save as a dictionary, the best first. The share
+        sinks with the text around a notice, so it only orders."""
         raw = block.encode("utf-8", "surrogatepass")
         alone = len(self.plain.compress(raw))
         gains = [(round((alone - len(c.compress(raw))) / alone, 6), i) for i, c in enumerate(self.primed)]
-        return sorted((g for g in gains if g[0] >= self.least_gain), key=lambda g: (-g[0], g[1]))
+        return sorted(gains, key=lambda g: (-g[0], g[1]))
 
     def block(self, block: str) -> list[tuple]:
         """``(license, start, end, gain, differences, words)`` of the notices confirmed in a block, none overlapping."""

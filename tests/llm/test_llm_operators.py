@@ -314,6 +314,14 @@ def test_license_scan(spark, small, docs, none):
     assert licenses.scan(docs).count() == 0 and licenses.scan(none).count() == 0
 
 
+def test_license_inside_prose():
+    scanner = licenses.Scanner()
+    around = "The quarterly report of the river council lists bridges, ferries and seven new wells near the old mill. " * 8
+    for notice, name in (("All rights reserved.", "proprietary"), ("Released under the MIT License.", "MIT"), ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0")):
+        assert [(h[0], h[1]) for h in scanner(f"{around}{notice} {around}")] == [(name, len(around))]
+    assert [h[0] for h in scanner("Copyright (c) 2014-2021 Example Publishing Corporation, Springfield. All rights reserved.")] == ["proprietary"]
+
+
 def test_word_differences():
     def plain(a, b):
         best = None
