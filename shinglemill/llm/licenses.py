@@ -1,14 +1,16 @@
 """License notices by conditional compression.
 
 Candidate blocks are the lines, and the paragraphs of several lines, that hold a word of licensing. A block is compressed by
-zstandard on its own and with each notice as a raw dictionary; the notices that save most are its likely contents. The first
-ones are then confirmed by the exact differences in wording: the fewest words to insert, drop or replace between the notice
-and some stretch of the block.
+zstandard on its own and with each notice as a raw dictionary; the notices that save most are its likely contents. In that
+order all are confirmed by the exact differences in wording: the fewest words to insert, drop or replace between the notice
+and some stretch of the block. What lies between confirmed stretches is searched again until nothing more is found.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -51,9 +53,8 @@ def _words(text: str):
     return [w for w, _, _ in found], [(a, b) for _, a, b in found]
 
 
-def word_differences(notice: list[str], block: list[str]) -> tuple[int, int, int]:
-    """The fewest edits that turn some stretch of ``block`` into ``notice``, and that stretch as ``[start, end)``; of several
-    the one that ends first."""
+def _alignments(notice: list[str], block: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For each end the fewest edits that turn a stretch of ``block`` that ends there into ``notice``, and the stretch's start."""
     width = len(block) + 1
     cost, start = np.zeros(width, np.int64), np.arange(width)
     steps = np.arange(width)
@@ -68,14 +69,34 @@ def word_differences(notice: list[str], block: list[str]) -> tuple[int, int, int
         reach = np.minimum.accumulate(best - steps)
         source = np.maximum.accumulate(np.where(best - steps == reach, steps, 0))
         cost, start = reach + steps, origin[source]
+    return cost, start
+
+
+def word_differences(notice: list[str], block: list[str]) -> tuple[int, int, int]:
+    """The fewest edits that turn some stretch of ``block`` into ``notice``, and that stretch as ``[start, end)``; of several
+    the one that ends first."""
+    cost, start = _alignments(notice, block)
     end = int(cost.argmin())
     return int(cost[end]), int(start[end]), end
 
 
+def _apart(hits: list[tuple]) -> list[tuple]:
+    """Of ``(name, start, end, ...)`` in the order of preference those that overlap no earlier one."""
+    starts, ends, kept = [], [], []
+    for hit in hits:
+        at = bisect.bisect_left(starts, hit[2])
+        if at == 0 or ends[at - 1] <= hit[1]:
+            starts.insert(at, hit[1])
+            ends.insert(at, hit[2])
+            kept.append(hit)
+    return kept
+
+
 class Scanner:
-    def __init__(self, notices=NOTICES, level: int = 3, tries: int = 3, tolerance: float = 0.15):
-        self.notices, self.tries, self.tolerance = notices, tries, tolerance
+    def __init__(self, notices=NOTICES, level: int = 3, tolerance: float = 0.15):
+        self.notices, self.tolerance = notices, tolerance
         self.words = [_words(text)[0] for _, text in notices]
+        self.counts = [Counter(words) for words in self.words]
         self.plain = zstandard.ZstdCompressor(level=level, write_content_size=False)
         self.primed = [zstandard.ZstdCompressor(level=level, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, text in notices]
         self.memo: dict = {}
@@ -93,22 +114,31 @@ class Scanner:
         if block in self.memo:
             return self.memo[block]
         words, spans = _words(block)
-        found = []
-        for gain, i in self.rank(block)[: self.tries]:
-            at = 0
-            while at < len(words):
-                differences, a, b = word_differences(self.words[i], words[at:])
-                if b <= a or differences > int(self.tolerance * len(self.words[i])):
-                    break
-                found.append((self.notices[i][0], spans[at + a][0], spans[at + b - 1][1], gain, differences, len(self.words[i])))
-                at += b
-        kept: list = []
-        for hit in sorted(found, key=lambda h: (h[4] / h[5], -h[5], -h[3], h[0])):
-            if all(hit[2] <= k[1] or hit[1] >= k[2] for k in kept):
-                kept.append(hit)
+        ranked = self.rank(block)
+        kept, todo = [], [(0, len(words))]
+        while todo:
+            low, high = todo.pop()
+            taken = sorted(_apart(sorted(self._confirmed(words[low:high], ranked), key=lambda h: (h[4] / h[5], -h[5], -h[3], h[0], h[2]))), key=lambda h: h[1])
+            kept += [(name, spans[low + a][0], spans[low + b - 1][1], *rest) for name, a, b, *rest in taken]
+            if taken:  # what lies between confirmed stretches may hold other notices
+                todo += zip([low, *(low + h[2] for h in taken)], [*(low + h[1] for h in taken), high])
+        kept.sort(key=lambda h: h[1])
         if len(self.memo) < 10_000:
-            self.memo[block] = sorted(kept, key=lambda h: h[1])
-        return sorted(kept, key=lambda h: h[1])
+            self.memo[block] = kept
+        return kept
+
+    def _confirmed(self, words: list[str], ranked: list) -> list[tuple]:
+        """Every stretch of words that is a notice up to the tolerated differences, with notices in the order of ``ranked``. A notice
+        with more words that the block doesn't hold at all is out without an alignment."""
+        held, found = Counter(words), []
+        for gain, i in ranked:
+            size = len(self.words[i])
+            most = int(self.tolerance * size)
+            if sum(n - held[w] for w, n in self.counts[i].items() if held[w] < n) > most:
+                continue
+            cost, start = _alignments(self.words[i], words)
+            found += [(self.notices[i][0], int(start[b]), b, gain, int(cost[b]), size) for b in np.flatnonzero(cost <= most).tolist() if b > start[b]]
+        return found
 
     def __call__(self, text: str) -> list[tuple]:
         """Notices in a whole text, with offsets in characters; a stretch found in a line and in its paragraph counts once."""
@@ -120,10 +150,7 @@ class Scanner:
             breaks = [m.span() for m in _PARAGRAPH.finditer(text, low, high)]
             blocks.add((max([low, *(b for _, b in breaks if b <= sign.start())]), min([high, *(a for a, _ in breaks if a >= sign.end())])))
         found = {(h[0], a + h[1], a + h[2], h[3], h[4], h[5]) for a, b in blocks for h in self.block(text[a:b])}
-        kept: list = []
-        for hit in sorted(found, key=lambda h: (h[4] / h[5], -h[5], -h[3], h[1], h[0])):
-            if all(hit[2] <= k[1] or hit[1] >= k[2] for k in kept):
-                kept.append(hit)
+        kept = _apart(sorted(found, key=lambda h: (h[4] / h[5], -h[5], -h[3], h[1], h[0])))
         return sorted(kept, key=lambda h: h[1])
 
 

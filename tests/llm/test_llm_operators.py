@@ -322,6 +322,18 @@ def test_license_inside_prose():
     assert [h[0] for h in scanner("Copyright (c) 2014-2021 Example Publishing Corporation, Springfield. All rights reserved.")] == ["proprietary"]
 
 
+def test_several_licenses_in_a_line():
+    scanner = licenses.Scanner()
+    five = ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the Apache License, Version 2.0.", "Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "All rights reserved."]
+    names = ["GPL-3.0", "Apache-2.0", "MIT", "CC-BY-NC-4.0", "proprietary"]
+    assert [h[0] for h in scanner(" ".join(five))] == names
+    assert [h[0] for h in scanner(" ".join(five[::-1]))] == names[::-1]
+    assert [h[0] for h in scanner(licenses.NOTICES[6][1] + " Licensed under CC BY-NC 4.0.")] == ["GPL-3.0-or-later", "CC-BY-NC-4.0"]
+    edited = licenses.NOTICES[6][1].replace("redistribute it", "share it")  # an exact notice behind one with a difference hides it no more
+    assert [(h[0], h[4]) for h in scanner(edited + " " + licenses.NOTICES[6][1])] == [("GPL-3.0-or-later", 1), ("GPL-3.0-or-later", 0)]
+    assert [h[0] for h in scanner(" ".join(five * 40))] == names * 40
+
+
 def test_word_differences():
     def plain(a, b):
         best = None
