@@ -203,3 +203,24 @@ def test_stream(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("seen").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("SELECT count(*) FROM seen").first()[0] == 2
+
+
+def test_contained_in_matches_other_documents(spark):
+    def sets(*rows):
+        return spark.createDataFrame(list(rows), "idx long, set array<long>")
+
+    whole, part, odd = [16 * i for i in range(100)], [16 * i for i in range(90)], [16 * i for i in range(500, 510)]
+    docs = sets((0, whole), (1, part), (2, [*part[:85], *odd]), (3, [7]), (4, [16 * i + 1600 * 9 for i in range(5)]))
+    got = {r["idx"]: (r["match"], round(r["containment"], 6)) for r in sim.contained_in(docs, docs, others=True).collect()}
+    assert got == {0: (1, 1.0), 1: (0, 0.9), 2: (1, round(85 / 90, 6))}
+    assert all(r["idx"] == r["match"] for r in sim.contained_in(docs, docs).filter("idx = 0").collect())
+
+
+def test_contained_in_query(spark, small):
+    from shinglemill.plans import documents
+
+    found = documents.contained_in(spark, small).collect()
+    assert found and all(r["idx"] != r["match"] and r["containment"] >= 0.8 for r in found)
+    corpus = documents._corpus(spark, small)
+    last = {r["idx"] for r in corpus.filter("is_copy").select("idx").collect()}
+    assert any(r["match"] in last and r["idx"] not in last for r in found)
