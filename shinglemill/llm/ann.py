@@ -69,13 +69,14 @@ class KMeansTree:
                 stack += [(kid, rows[nearest == i]) for i, kid in enumerate(self.children[node])]
         return out
 
-    def visits(self, q: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves, best bin first."""
-        queue, found = [(0.0, 0)], []
-        while queue and len(found) < most:
+    def visits(self, q: np.ndarray, most: int, sizes: dict | None = None, least: int = 0) -> list[int]:
+        """The first ``most`` leaves, best bin first, and more until they hold ``least`` rows by ``sizes``."""
+        queue, found, held = [(0.0, 0)], [], 0
+        while queue and (len(found) < most or held < least):
             _, node = heapq.heappop(queue)
             if self.leaf[node] >= 0:
                 found.append(self.leaf[node])
+                held += sizes.get(self.leaf[node], 0) if sizes else 0
                 continue
             for d, kid in zip(((self.child_centres[node] - q) ** 2).sum(1).tolist(), self.children[node]):
                 heapq.heappush(queue, (d, kid))
@@ -107,7 +108,7 @@ def search(vectors: DataFrame, queries, k: int = 10, recall: float = 0.97, id_co
     """``(query_id, rank, id, score)``: the ``k`` nearest rows found for every row that the condition ``queries`` picks.
 
     score is the Euclidean distance in double precision on the vectors as given; ties go to the smaller id. A query's
-    own id is no candidate; with fewer candidates all are returned. Rows with a null id, vectors that are null, empty, zero or hold
+    own id is no candidate; with fewer candidates all are returned. A query whose leaves hold too few goes on to further ones. Rows with a null id, vectors that are null, empty, zero or hold
     null or non-finite components, and vectors whose length isn't the most common one take no part. Rows that repeat id and
     vector count once. Other columns are ignored. An empty table, or one without queries, gives no rows.
     """
@@ -143,9 +144,11 @@ def search(vectors: DataFrame, queries, k: int = 10, recall: float = 0.97, id_co
     ask_classes = asking.groupBy("cid").agg(F.first("vector").alias("vector"))
     visits = _calibrate(filed, ask_classes, tree, k, recall, calibration, seed)
 
+    held = {r["leaf"]: r["count"] for r in filed.groupBy("leaf").count().collect()}  # as many as the tree has leaves
+
     def bins(batches):
         for batch in batches:
-            found = [shared.value.visits(q, visits) for q in _matrix(batch.column("vector"))]
+            found = [shared.value.visits(q, visits, held, k + 1) for q in _matrix(batch.column("vector"))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32()))], [*batch.schema.names, "leaves"])
 
     visited = ask_classes.mapInArrow(bins, "cid long, vector array<double>, leaves array<int>").select("cid", "vector", F.explode("leaves").alias("leaf"))

@@ -294,6 +294,17 @@ def test_rates_are_exponentially_tilted(spark):
 # 7 -------------------------------------------------------------------------------------------------------------------
 
 
+def test_search_fills_k_from_small_leaves(spark):
+    rng = np.random.default_rng(5)
+    groups = [rng.normal(rng.normal(0, 100, 8), 0.01, (30, 8)) for _ in range(60)] + [rng.normal(5_000, 0.01, (4, 8))]
+    x = np.concatenate(groups)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = ann.search(frame, F.col("vec_id") >= 0).collect()
+    ranks = {i: sorted(r["rank"] for r in rows if r["query_id"] == i) for i in (0, 900, *range(1800, 1804))}
+    assert all(found == list(range(1, 11)) for found in ranks.values()), ranks
+    assert len(rows) == 10 * len(x)
+
+
 def test_license_scan(spark, small, docs, none):
     scanner = licenses.Scanner()
     mit = licenses.NOTICES[4][1]
