@@ -264,18 +264,23 @@ def cut_windows(coded: list[np.ndarray]):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", per_class: int = 900, clean_per_toxic: int = 3, most_chars: int = 4_000, seed: int = 8) -> AttentiveGru | None:
-    """A network from at most ``per_class`` toxic documents and ``clean_per_toxic`` times as many clean ones, each of at most
-    ``most_chars`` characters, chosen by hash. labels: id, ``toxic``; null marks are ignored. None where a class has no document."""
+    """A network from at most ``per_class`` toxic documents and ``clean_per_toxic`` times as many clean ones, chosen by hash among
+    those with text. Toxic ones are taken whole, as the mark doesn't tell where; a clean one of more than ``most_chars`` characters
+    gives a slice of that length, from a place by hash. labels: id, ``toxic``; null marks are ignored. None where a class has no
+    document."""
+    rows = docs.select(id_col, F.col(text).alias("text")).filter(F.length("text") > 0)
     marked = labels.filter(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max("toxic").alias("toxic"))
+    marked = marked.join(rows.select(id_col), id_col, "left_semi")
     sizes = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     if sizes.keys() != {0, 1}:
         return None
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
     share = F.when(F.col("toxic") == 1, min(1.0, 1.3 * per_class / sizes[1])).otherwise(min(1.0, 1.3 * clean_per_toxic * per_class / sizes[0]))
     picked = marked.withColumn("draw", draw).filter(F.col("draw") < share)
-    rows = docs.select(id_col, F.col(text).alias("text")).filter((F.length("text") <= most_chars) & (F.length("text") > 0))
+    place = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed + 1)), F.greatest(F.length("text") - most_chars, F.lit(0)) + 1).cast("int") + 1
+    part = F.when(F.col("toxic") == 1, F.col("text")).otherwise(F.substring("text", place, F.lit(most_chars))).alias("text")
     bound = 2 * (1 + clean_per_toxic) * per_class  # rows of the picked side: ids and marks only
-    sample = rows.join(F.broadcast(picked.orderBy("draw").limit(bound)), id_col).select("toxic", "draw", "text").distinct().limit(bound).collect()
+    sample = rows.join(F.broadcast(picked.orderBy("draw").limit(bound)), id_col).select("toxic", "draw", part).distinct().limit(bound).collect()
     sample = sorted((r["draw"], r["toxic"], r["text"]) for r in sample)
     texts, marks = [], []
     for mark in (0, 1):

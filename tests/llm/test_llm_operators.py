@@ -294,6 +294,19 @@ def test_rates_are_exponentially_tilted(spark):
 # 7 -------------------------------------------------------------------------------------------------------------------
 
 
+def test_toxicity_learns_from_long_documents(spark):
+    rng = np.random.default_rng(4)
+    plain = [f"{a}{b}" for a in ("ri", "mo", "ta", "le", "su") for b in ("ver", "ster", "ble", "nd", "lk", "ply")]
+    prose = lambda n: " ".join(rng.choice(plain, n))
+    rows = [(i, f"{prose(500)} {'you worthless stupid scum shut up ' * 4}{prose(500)}" if i % 3 == 0 else prose(1_000), int(i % 3 == 0)) for i in range(120)]
+    assert all(len(r[1]) > 4_000 for r in rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(frame.filter("doc_id < 90").drop("toxic"), frame.filter("doc_id < 90").select("doc_id", "toxic"))
+    assert model is not None
+    got = toxicity.score_toxicity(frame.filter("doc_id >= 90"), model).collect()
+    assert sum(r["toxic"] == r["toxic_pred"] for r in got) >= 27
+
+
 def test_search_fills_k_from_small_leaves(spark):
     rng = np.random.default_rng(5)
     groups = [rng.normal(rng.normal(0, 100, 8), 0.01, (30, 8)) for _ in range(60)] + [rng.normal(5_000, 0.01, (4, 8))]
