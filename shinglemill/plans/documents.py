@@ -245,13 +245,16 @@ def removed_by_source(spark, sf_dir):
 
 
 def minhash_bandings(spark, sf_dir):
+    """The bandings over signatures of each of three seeds."""
     docs = _corpus(spark, sf_dir, ("real",))
-    signed = Scratch(spark, "signatures").keep(sim.signatures(sim.shingle_sets(docs, 5)), "signatures")
+    sets = Scratch(spark, "sets").keep(sim.shingle_sets(docs, 5), "sets")
     out = None
-    for name in T.BANDINGS:
-        m = D.minhash_decision(docs, signed, name).select(F.lit(name).alias("banding"), (F.col("idx") != F.col("component")).cast("long").alias("gone"))
-        one = m.groupBy("banding").agg(F.count("*").alias("documents"), F.sum("gone").alias("removed"))
-        out = one if out is None else out.unionByName(one)
+    for seed in range(3):
+        signed = Scratch(spark, "signatures").keep(sim.signatures(sets, seed=seed), "signatures")
+        for name in T.BANDINGS:
+            m = D.minhash_decision(docs, signed, name).select(F.lit(name).alias("banding"), F.lit(seed).alias("seed"), (F.col("idx") != F.col("component")).cast("long").alias("gone"))
+            one = m.groupBy("banding", "seed").agg(F.count("*").alias("documents"), F.sum("gone").alias("removed"))
+            out = one if out is None else out.unionByName(one)
     return out
 
 

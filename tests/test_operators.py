@@ -224,3 +224,12 @@ def test_contained_in_query(spark, small):
     corpus = documents._corpus(spark, small)
     last = {r["idx"] for r in corpus.filter("is_copy").select("idx").collect()}
     assert any(r["match"] in last and r["idx"] not in last for r in found)
+
+
+def test_minhash_bandings_of_three_seeds(spark, small):
+    from shinglemill.functions import text as T
+    from shinglemill.plans import documents
+
+    rows = documents.minhash_bandings(spark, small).collect()
+    assert sorted((r["banding"], r["seed"]) for r in rows) == sorted((name, seed) for name in T.BANDINGS for seed in range(3))
+    assert len({r["documents"] for r in rows}) == 1 and all(0 < r["removed"] < r["documents"] for r in rows)
