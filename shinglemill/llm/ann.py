@@ -6,7 +6,8 @@ order in which they come up. How many it visits is calibrated: for a sample of q
 brute force over all vectors, and visits are widened until the share of them in visited leaves reaches ``recall``.
 
 Equal vectors are one candidate that keeps its smallest ids, more of which no result can hold, so copies don't crowd a leaf.
-Leaves and their queries meet in blocks of bounded size.
+Leaves and their queries meet in blocks of bounded size. Vectors of different lengths have no distance, so each length has a
+tree of its own.
 """
 
 from __future__ import annotations
@@ -19,16 +20,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shinglemill.llm.memory import ship, unship
 from shinglemill.llm.vectors import comparable
 from shinglemill.scratch import Scratch
 
 #: Candidates, and queries, in a block.
 BLOCK, QUERY_BLOCK = 4_096, 512
+#: Numbers of the sample that trees are fitted on; it has fewer vectors where they are long.
+SAMPLE_NUMBERS = 1 << 23
 
 
 class KMeansTree:
     def __init__(self, x: np.ndarray, leaf_points: int, branching: int = 8, rounds: int = 8, seed: int = 9):
-        self.centres, self.children, self.leaf = [x.mean(0) if len(x) else np.zeros(0)], [[]], [-1]
+        self.centres, self.children, self.leaf = [x.mean(0) if len(x) else np.zeros(x.shape[1])], [[]], [-1]
         self.leaves = 0
         rng = np.random.default_rng(seed)
         stack = [(0, x)]
@@ -83,6 +87,24 @@ class KMeansTree:
         return found
 
 
+class Forest:
+    """A tree for each length of vectors, with leaves numbered through."""
+
+    def __init__(self, samples: dict[int, np.ndarray], leaf_points: dict[int, int]):
+        self.trees, self.first, self.leaves = {}, {}, 0
+        for d in sorted(samples):
+            self.trees[d], self.first[d] = KMeansTree(samples[d], leaf_points[d]), self.leaves
+            self.leaves += self.trees[d].leaves
+
+    def file(self, x: np.ndarray) -> np.ndarray:
+        return self.trees[x.shape[1]].file(x) + self.first[x.shape[1]]
+
+    def visits(self, q: np.ndarray, most: int, sizes: dict | None = None, least: int = 0) -> list[int]:
+        first = self.first[len(q)]
+        own = {leaf - first: n for leaf, n in sizes.items()} if sizes and first else sizes
+        return [first + leaf for leaf in self.trees[len(q)].visits(q, most, own, least)]
+
+
 def _squares(x, y):
     return (x * x).sum(1)[:, None] - 2 * (x @ y.T) + (y * y).sum(1)[None]
 
@@ -104,21 +126,29 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
+def _by_length(column):
+    """``(rows, matrix)`` of every length among a column's vectors."""
+    offsets = np.asarray(column.offsets)
+    sizes, flat = np.diff(offsets), np.asarray(column.values)
+    for d in np.unique(sizes):
+        rows = np.flatnonzero(sizes == d)
+        yield rows, flat[offsets[rows][:, None] + np.arange(d)]
+
+
 def search(vectors: DataFrame, queries, k: int = 10, recall: float = 0.97, id_col: str = "vec_id", vector: str = "embedding", sample: int = 50_000, calibration: int = 200, seed: int = 3) -> DataFrame:
     """``(query_id, rank, id, score)``: the ``k`` nearest rows found for every row that the condition ``queries`` picks.
 
     score is the Euclidean distance in double precision on the vectors as given; ties go to the smaller id. A query's
-    own id is no candidate; with fewer candidates all are returned. A query whose leaves hold too few goes on to further ones. Rows with a null id, vectors that are null, empty, zero or hold
-    null or non-finite components, and vectors whose length isn't the most common one take no part. Rows that repeat id and
-    vector count once. Other columns are ignored. An empty table, or one without queries, gives no rows.
+    own id is no candidate; with fewer candidates all are returned. A query whose leaves hold too few goes on to further ones.
+    Candidates have the query's length. Rows with a null id, and vectors that are null, empty, zero or hold null or non-finite
+    components take no part. Rows that repeat id and vector count once. Other columns are ignored. An empty table, or one
+    without queries, gives no rows. ``sample`` bounds the vectors that trees are fitted on, fewer where they are very long.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), queries.alias("asks"))
     rows = rows.filter(comparable(F.col("vector")) & F.col("id").isNotNull())
-    lengths = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    d = lengths[0]["d"] if lengths else 0
-    rows = rows.filter(F.size("vector") == d).select("id", F.transform("vector", lambda x: x + F.lit(0.0)).alias("vector"), F.coalesce("asks", F.lit(False)).alias("asks")).distinct()
+    rows = rows.select("id", F.transform("vector", lambda x: x + F.lit(0.0)).alias("vector"), F.coalesce("asks", F.lit(False)).alias("asks")).distinct()
     rows = scratch.keep(rows, "rows")
 
     ordered = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
@@ -127,16 +157,23 @@ def search(vectors: DataFrame, queries, k: int = 10, recall: float = 0.97, id_co
     classes = scratch.keep(classes, "classes")
 
     draw = F.xxhash64("cid", F.lit(seed))
-    n = classes.count()
+    counts = {r["d"]: r["count"] for r in classes.groupBy(F.size("vector").alias("d")).count().collect()}  # a row for each length
+    n = sum(counts.values())
+    sample = min(sample, max(1_000, SAMPLE_NUMBERS * max(n, 1) // max(1, sum(d * c for d, c in counts.items()))))
     picked = classes.filter(draw / float(1 << 63) < 2 * min(1.0, 1.1 * sample / max(n, 1)) - 1).orderBy(draw, "cid").select("vector").limit(sample)
-    picked = _matrix(picked.toArrow()["vector"].combine_chunks()).reshape(-1, max(d, 1))
+    picked = picked.toArrow()["vector"].combine_chunks()
+    samples = {d: np.empty((0, d)) for d in counts} | {x.shape[1]: x for _, x in _by_length(picked)}
     # About sqrt(n) / 2 leaves balance what a query spends on choosing leaves and on scanning them.
-    tree = KMeansTree(picked, max(16, math.ceil(2 * len(picked) / math.sqrt(max(n, 1)))))
-    shared = spark.sparkContext.broadcast(tree)
+    tree = Forest(samples, {d: max(16, math.ceil(2 * len(samples[d]) / math.sqrt(c))) for d, c in counts.items()})
+    del picked, samples
+    shared = ship(spark, tree)
 
     def file(batches):
+        forest = unship(shared)
         for batch in batches:
-            leaf = shared.value.file(_matrix(batch.column("vector")))
+            leaf = np.empty(batch.num_rows, np.int32)
+            for at, x in _by_length(batch.column("vector")):
+                leaf[at] = forest.file(x)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], [*batch.schema.names, "leaf"])
 
     filed = scratch.keep(classes.select("cid", "vector").mapInArrow(file, "cid long, vector array<double>, leaf int"), "filed")
@@ -147,8 +184,12 @@ def search(vectors: DataFrame, queries, k: int = 10, recall: float = 0.97, id_co
     held = {r["leaf"]: r["count"] for r in filed.groupBy("leaf").count().collect()}  # as many as the tree has leaves
 
     def bins(batches):
+        forest = unship(shared)
         for batch in batches:
-            found = [shared.value.visits(q, visits, held, k + 1) for q in _matrix(batch.column("vector"))]
+            found = [None] * batch.num_rows
+            for at, x in _by_length(batch.column("vector")):
+                for i, q in zip(at.tolist(), x):
+                    found[i] = forest.visits(q, visits, held, k + 1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32()))], [*batch.schema.names, "leaves"])
 
     visited = ask_classes.mapInArrow(bins, "cid long, vector array<double>, leaves array<int>").select("cid", "vector", F.explode("leaves").alias("leaf"))
@@ -197,22 +238,28 @@ def _top(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.mapInArrow(run, "asking long, cid long, score double")
 
 
-def _calibrate(filed: DataFrame, ask_classes: DataFrame, tree: KMeansTree, k: int, recall: float, calibration: int, seed: int) -> int:
+def _calibrate(filed: DataFrame, ask_classes: DataFrame, tree: Forest, k: int, recall: float, calibration: int, seed: int) -> int:
     """The least number of leaves whose visit finds the share ``recall`` of the true neighbours of some queries."""
     probes = ask_classes.orderBy(F.xxhash64("cid", F.lit(seed + 1)), "cid").limit(calibration).collect()
     if not probes:
         return 1
     own = np.array([r["cid"] for r in probes])
-    q = np.array([r["vector"] for r in probes], np.float64)
+    q = [np.array(r["vector"], np.float64) for r in probes]
+    alike = {d: [i for i, v in enumerate(q) if len(v) == d] for d in map(len, q)}
+    stacked = {d: np.array([q[i] for i in which]) for d, which in alike.items()}
 
     def brute(batches):
         best: list = [[] for _ in own]
         for batch in batches:
             cids, leaves = batch.column("cid").to_numpy(), batch.column("leaf").to_numpy()
-            for mine, (at, dist) in zip(best, nearest_rows(q, _matrix(batch.column("vector")), cids, k + 1)):
-                mine += zip(dist.tolist(), cids[at].tolist(), leaves[at].tolist())
-                mine.sort()
-                del mine[k + 1 :]
+            for rows, x in _by_length(batch.column("vector")):
+                d = x.shape[1]
+                if d not in alike:
+                    continue
+                for i, (at, dist) in zip(alike[d], nearest_rows(stacked[d], x, cids[rows], k + 1)):
+                    best[i] += zip(dist.tolist(), cids[rows][at].tolist(), leaves[rows][at].tolist())
+                    best[i].sort()
+                    del best[i][k + 1 :]
         flat = [(i, *hit) for i, mine in enumerate(best) for hit in mine]
         types = [pa.int32(), pa.float64(), pa.int64(), pa.int32()]
         yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in flat], t) for j, t in enumerate(types)], ["probe", "score", "cid", "leaf"])

@@ -13,11 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shinglemill.llm.memory import small_batches, trim
+from shinglemill.llm.memory import ship, small_batches, trim, unship
 
 WIDTHS, FILTERS, WINDOW, CLASSES = (2, 3, 4), 12, 256, 64
-#: Languages that a model can learn; rarer ones beyond it are left out.
-MAX_LANGUAGES = 200
 
 
 def byte_classes() -> np.ndarray:
@@ -113,7 +111,7 @@ def _softmax(z):
     return e / e.sum(1, keepdims=True)
 
 
-def windows_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, classes: np.ndarray):
+def windows_of(starts: np.ndarray, ends: np.ndarray):
     """Fixed-length windows of byte classes that cover every ``data[start:end]``, each's document, and its length in bytes."""
     count = np.maximum(1, -(-(ends - starts) // WINDOW))
     doc = np.repeat(np.arange(len(starts)), count)
@@ -128,21 +126,24 @@ def _cut(data, first, length, classes):
     return x
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 600, slice_chars: int = 1_024, seed: int = 1) -> ByteConvNet | None:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 600, most_rows: int = 120_000, slice_chars: int = 1_024, seed: int = 1) -> ByteConvNet | None:
     """A network from at most about ``per_language`` rows of each language with a text and label, one slice of at most
-    ``slice_chars`` characters from each; rows and slices are chosen by hash. None where no row is labelled."""
+    ``slice_chars`` characters from each; rows and slices are chosen by hash. Every label is learned: with more than ``most_rows /
+    per_language`` languages each gives fewer rows. None where no row is labelled."""
     rows = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.length(F.trim(text)) > 0)).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = rows.groupBy("lang").count().collect()  # a row for each language
     if not sizes:
         return None
     languages = sorted(r["lang"] for r in sizes)
-    share = F.create_map(*(F.lit(v) for r in sizes for v in (r["lang"], min(1.0, per_language / r["count"]))))
+    per_language = max(1, min(per_language, most_rows // len(languages)))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, per_language / r["count"])) for r in sizes], "lang string, share double")
+    rows = rows.join(F.broadcast(shares), "lang")
     draw = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 40))
     spare = F.greatest(F.length("text") - slice_chars, F.lit(0)) + 1
     start = (F.pmod(F.xxhash64("text", F.lit(seed + 1)), spare) + 1).cast("int")
-    picked = rows.filter(draw / float(1 << 40) < share[F.col("lang")]).select("lang", draw.alias("draw"), F.substring(F.col("text"), start, F.lit(slice_chars)).alias("slice"))
+    picked = rows.filter(draw / float(1 << 40) < F.col("share")).select("lang", draw.alias("draw"), F.substring(F.col("text"), start, F.lit(slice_chars)).alias("slice"))
     sample = sorted(tuple(r) for r in picked.distinct().limit(4 * per_language * len(languages)).collect())
-    rng, classes = np.random.default_rng(seed), byte_classes()
+    rng, classes, number = np.random.default_rng(seed), byte_classes(), {name: i for i, name in enumerate(languages)}
     x, y = [], []
     for language, _, part in sample:
         raw = np.frombuffer(part.encode(), np.uint8)
@@ -154,7 +155,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_language:
             row = np.zeros(WINDOW, np.uint8)
             row[: b - a] = classes[raw[a:b]]
             x.append(row)
-            y.append(languages.index(language))
+            y.append(number[language])
     model = ByteConvNet(languages)
     model.fit(np.array(x), np.array(y))
     trim()
@@ -165,8 +166,9 @@ def identify(docs: DataFrame, model: ByteConvNet | None, text: str = "text", kee
     """``keep`` columns (all by default) of ``docs`` with ``lang_pred`` and ``lang_score``.
 
     Every window of the whole text is scored; probabilities are averaged by bytes, and the largest is the score. A text that is
-    null or has no letter is ``und`` with score 0, as is every text where the model is None. Columns of ``docs`` named like
-    the new ones are replaced. An empty table gives no rows.
+    null or has no letter is ``und`` with score 0, as is every text where the model is None. Very long texts are scored in
+    blocks of windows. Of languages with equal probability the first by code point is taken. Every repeated row is scored,
+    also with a null id. Columns of ``docs`` named like the new ones are replaced. An empty table gives no rows.
     """
     keep = [c for c in (keep if keep is not None else docs.columns) if c.lower() not in ("lang_pred", "lang_score")]
     body, found, lettered = (unused(name, docs.columns) for name in ("_text", "_found", "_letters"))
@@ -174,14 +176,14 @@ def identify(docs: DataFrame, model: ByteConvNet | None, text: str = "text", kee
     if model is None:
         return base.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("lang_score"))
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = ship(docs.sparkSession, model)
     classes = byte_classes()
 
     def score_all(net, texts):
         raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
         data = np.frombuffer(b"".join(raw), np.uint8)
         ends = np.cumsum([len(r) for r in raw], dtype=np.int64)
-        doc, first, length = windows_of(data, ends - np.array([len(r) for r in raw]), ends, classes)
+        doc, first, length = windows_of(ends - np.array([len(r) for r in raw]), ends)
         total = np.zeros((len(raw), len(net.languages)))
         for at in range(0, len(doc), 1024):
             p = net.probabilities(_cut(data, first[at : at + 1024], length[at : at + 1024], classes))
@@ -192,8 +194,9 @@ def identify(docs: DataFrame, model: ByteConvNet | None, text: str = "text", kee
         return pd.DataFrame({"lang_pred": np.array(net.languages, object)[best], "lang_score": np.minimum(total.max(1), 1.0)})
 
     def score(parts):
+        net = unship(shared)
         for texts in parts:
-            yield score_all(shared.value, texts)
+            yield score_all(net, texts)
         trim()
 
     score = F.pandas_udf(score, "lang_pred string, lang_score double", F.PandasUDFType.SCALAR_ITER)

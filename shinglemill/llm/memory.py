@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import pickle
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 #: Bytes of an Arrow batch on its way to Python; Spark's own bound suits rows of numbers, not of texts.
@@ -19,6 +21,15 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+def ship(spark: SparkSession, value):
+    """A broadcast of ``value`` with the code of its classes, for workers that don't have this package; ``unship`` reads it."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def unship(shared):
+    return pickle.loads(shared.value)
+
+
 def trim() -> None:
     """Gives freed memory back to the system; Python workers outlive their tasks, and the driver its training."""
     gc.collect()

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shinglemill.llm.langid import held_out, unused
-from shinglemill.llm.memory import small_batches, trim
+from shinglemill.llm.memory import ship, small_batches, trim, unship
 
 HASHED, DIM, HIDDEN = 1 << 15, 12, 8
 WINDOW, STRIDE = 64, 48
-#: Distinct words whose inputs a task remembers.
-_WORDS = 100_000
+#: Distinct words whose inputs a task remembers; words of a text that are scored at once, a multiple of the stride.
+_WORDS, _PIECE = 100_000, 48_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -31,6 +31,21 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def pieces_of(text: str | None):
+    """The words of a text, in runs that overlap so that their windows are those of the whole."""
+    if not text or len(text) < 4 * _PIECE:
+        yield words_of(text)
+        return
+    found, piece = (m.group() for m in _WORD.finditer(text.lower())), []
+    while True:
+        more = list(islice(found, _PIECE + WINDOW - STRIDE - len(piece)))
+        if not more:
+            break
+        piece += more
+        yield piece
+        piece = piece[_PIECE:]
+
+
 def _grams(words: list[bytes]):
     """Hashes of the byte 3- and 4-grams of every word between edge marks, by word, and how many each has."""
     data = np.frombuffer(b"".join(b"\x02" + w + b"\x03" for w in words), np.uint8).astype(np.int64)
@@ -131,9 +146,12 @@ class AttentiveGru:
         pooled = (a[..., None] * states).sum(0)
         return a, pooled, pooled @ self.w["out"] + self.w["c"][0]
 
-    def logits(self, gates, ids, mask, block: int = 512) -> np.ndarray:
-        parts = [self._pool(self._run(gates, ids[i : i + block], mask[i : i + block]), mask[i : i + block])[2] for i in range(0, len(ids), block)]
-        return np.concatenate(parts) if parts else np.empty(0, np.float32)
+    def logits(self, gates, windows: Windows, block: int = 512) -> np.ndarray:
+        out = np.empty(len(windows), np.float32)
+        for at in range(0, len(windows), block):
+            ids, mask = windows.rows(np.arange(at, min(at + block, len(windows))))
+            out[at : at + block] = self._pool(self._run(gates, ids, mask), mask)[2]
+        return out
 
     def step(self, words: Words, ids, mask, y, weight, moments: dict, count: int, rate: float) -> None:
         """One step of Adam on the weighted log loss of some windows."""
@@ -188,24 +206,22 @@ class AttentiveGru:
             m2 += 0.001 * (grad * grad - m2)
             w[k] -= rate * (m1 / (1 - 0.9**count)) / (np.sqrt(m2 / (1 - 0.999**count)) + 1e-8)
 
-    def fit(self, texts: list[list[str]], marks: np.ndarray, epochs: int = 7, batch: int = 128, rate: float = 0.01, seed: int = 6) -> None:
-        """Words and grams in very few of the texts keep the embedding 0, so that chance words aren't learned by heart. After the
+    def fit(self, coded: list[np.ndarray], names: list[str], marks: np.ndarray, epochs: int = 7, batch: int = 128, rate: float = 0.01, seed: int = 6) -> None:
+        """coded: each text's words by their place in ``names``. Words and grams in very few of the texts keep the embedding 0, so that chance words aren't learned by heart. After the
         first pass the clean windows are the ones that score highest and as many others."""
         rng = np.random.default_rng(seed)
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.w.items()}
-        vocabulary: dict[str, int] = {}
-        coded = [np.array([vocabulary.setdefault(x, len(vocabulary)) for x in t], np.int64) for t in texts]
-        names = list(vocabulary)
         every = Words(names)
         self._choose_learned(every, coded)
-        ids, mask, doc = cut_windows(coded)
+        windows = Windows(coded)
+        doc = windows.doc
         y = marks[doc].astype(np.float32)
         count = 0
         for epoch in range(epochs):
             bad, clean = np.flatnonzero(y > 0), np.flatnonzero(y == 0)
             if epoch:
-                scores = self.logits(self.project(every), ids, mask)
-                top = np.full(len(texts), -np.inf)
+                scores = self.logits(self.project(every), windows)
+                top = np.full(len(coded), -np.inf)
                 np.maximum.at(top, doc, scores)
                 bad = bad[scores[bad] >= top[doc[bad]]]
                 hard = clean[np.argsort(-scores[clean], kind="stable")[: 2 * len(bad)]]
@@ -214,11 +230,12 @@ class AttentiveGru:
             share = max(y[used].mean(), 1e-3)
             weight = np.where(y > 0, 0.5 / share, 0.5 / max(1 - share, 1e-3)).astype(np.float32)
             for rows in np.array_split(rng.permutation(used), max(1, len(used) // batch)):
-                some, local = np.unique(ids[rows], return_inverse=True)
+                ids, mask = windows.rows(rows)
+                some, local = np.unique(ids, return_inverse=True)
                 count += 1
-                self.step(Words([names[i] for i in some]), local.reshape(len(rows), -1), mask[rows], y[rows], weight[rows], moments, count, rate)
-        scores = self.logits(self.project(every), ids, mask)
-        top = np.full(len(texts), -20.0)
+                self.step(Words([names[i] for i in some]), local.reshape(len(rows), -1), mask, y[rows], weight[rows], moments, count, rate)
+        scores = self.logits(self.project(every), windows)
+        top = np.full(len(coded), -20.0)
         np.maximum.at(top, doc, np.clip(scores, -20, 20))
         self.scale = _logistic(top, marks)
 
@@ -249,24 +266,33 @@ def _logistic(x, y, rounds: int = 50) -> tuple[float, float]:
     return float(max(b[0], 1e-3)), float(b[1])
 
 
-def cut_windows(coded: list[np.ndarray]):
-    """Overlapping windows over every document with words: ids, mask of real steps, document."""
-    size = np.fromiter(map(len, coded), np.int64, len(coded))
-    count = np.where(size > 0, np.maximum(1, -(-(size - (WINDOW - STRIDE)) // STRIDE)), 0)
-    doc = np.repeat(np.arange(len(coded)), count)
-    flat = np.concatenate(coded) if len(coded) else np.empty(0, np.int64)
-    start = np.cumsum(size) - size
-    first = start[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * STRIDE
-    at = first[:, None] + np.arange(WINDOW)
-    mask = at < (start + size)[doc][:, None]
-    ids = flat[np.where(mask, at, 0)] if len(flat) else np.zeros(at.shape, np.int64)
-    return np.where(mask, ids, 0), mask.astype(np.float32), doc
+class Windows:
+    """Overlapping windows over every document with words: ``doc`` has each window's document, ``rows`` cuts some of them out."""
+
+    def __init__(self, coded: list[np.ndarray]):
+        size = np.fromiter(map(len, coded), np.int64, len(coded))
+        count = np.where(size > 0, np.maximum(1, -(-(size - (WINDOW - STRIDE)) // STRIDE)), 0)
+        self.doc = np.repeat(np.arange(len(coded)), count)
+        self.flat = np.concatenate(coded).astype(np.int32, copy=False) if len(coded) else np.empty(0, np.int32)
+        end = np.cumsum(size)
+        self.first = (end - size)[self.doc] + (np.arange(len(self.doc)) - np.repeat(np.cumsum(count) - count, count)) * STRIDE
+        self.end = end[self.doc]
+
+    def __len__(self):
+        return len(self.doc)
+
+    def rows(self, which: np.ndarray):
+        """Ids, and the mask of real steps."""
+        at = self.first[which, None] + np.arange(WINDOW)
+        mask = at < self.end[which, None]
+        ids = self.flat[np.where(mask, at, 0)] if len(self.flat) else np.zeros(at.shape, np.int32)
+        return np.where(mask, ids, 0), mask.astype(np.float32)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", per_class: int = 900, clean_per_toxic: int = 3, most_chars: int = 4_000, seed: int = 8) -> AttentiveGru | None:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", per_class: int = 900, clean_per_toxic: int = 3, most_chars: int = 4_000, toxic_chars: int = 100_000, seed: int = 8) -> AttentiveGru | None:
     """A network from at most ``per_class`` toxic documents and ``clean_per_toxic`` times as many clean ones, chosen by hash among
-    those with text. Toxic ones are taken whole, as the mark doesn't tell where; a clean one of more than ``most_chars`` characters
-    gives a slice of that length, from a place by hash. labels: id, ``toxic``; null marks are ignored. None where a class has no
+    those with text. A toxic one gives up to ``toxic_chars`` characters, as the mark doesn't tell where, a clean one up to
+    ``most_chars``; longer texts give a slice of that length, from a place by hash. labels: id, ``toxic``; null marks are ignored. None where a class has no
     document."""
     rows = docs.select(id_col, F.col(text).alias("text")).filter(F.length("text") > 0)
     marked = labels.filter(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max("toxic").alias("toxic"))
@@ -277,21 +303,24 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
     share = F.when(F.col("toxic") == 1, min(1.0, 1.3 * per_class / sizes[1])).otherwise(min(1.0, 1.3 * clean_per_toxic * per_class / sizes[0]))
     picked = marked.withColumn("draw", draw).filter(F.col("draw") < share)
-    place = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed + 1)), F.greatest(F.length("text") - most_chars, F.lit(0)) + 1).cast("int") + 1
-    part = F.when(F.col("toxic") == 1, F.col("text")).otherwise(F.substring("text", place, F.lit(most_chars))).alias("text")
+    chars = F.when(F.col("toxic") == 1, toxic_chars).otherwise(most_chars)
+    place = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed + 1)), F.greatest(F.length("text") - chars, F.lit(0)) + 1).cast("int") + 1
+    part = F.substring("text", place, chars).alias("text")
     bound = 2 * (1 + clean_per_toxic) * per_class  # rows of the picked side: ids and marks only
     sample = rows.join(F.broadcast(picked.orderBy("draw").limit(bound)), id_col).select("toxic", "draw", part).distinct().limit(bound).collect()
     sample = sorted((r["draw"], r["toxic"], r["text"]) for r in sample)
-    texts, marks = [], []
+    coded, marks, vocabulary = [], [], {}
     for mark in (0, 1):
         chosen = [t for _, m, t in sample if m == mark][: per_class if mark else clean_per_toxic * per_class]
         if not chosen:
             return None
-        texts += [words_of(t) for t in chosen]
+        for t in chosen:
+            coded.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int32))
         marks += [mark] * len(chosen)
+    del sample, chosen
     model = AttentiveGru()
-    model.fit(texts, np.array(marks))
-    del texts, sample
+    model.fit(coded, list(vocabulary), np.array(marks))
+    del coded, vocabulary
     trim()
     return model
 
@@ -308,10 +337,16 @@ class Scorer:
         while at < len(texts):
             upto, size, split = at, 0, []
             while upto < len(texts) and size < 100_000:
+                if len(texts[upto] or "") > 4 * _PIECE:
+                    if upto == at:
+                        out[at] = max((self._score([p])[0] for p in pieces_of(texts[at])), default=0.0)
+                        upto = at + 1
+                    break
                 split.append(words_of(texts[upto]))
                 size += len(split[-1])
                 upto += 1
-            out[at:upto] = self._score(split)
+            if split:
+                out[at:upto] = self._score(split)
             at = upto
         return out
 
@@ -320,7 +355,7 @@ class Scorer:
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > len(self.gates):
             self.known, new = {}, list(words)
-            if len(new) > len(self.gates):  # a single text of very many words
+            if len(new) > len(self.gates):
                 self.gates = np.empty((len(new), 6 * HIDDEN), np.float32)
         first = len(self.known)
         self.known.update(zip(new, range(first, first + len(new))))
@@ -328,17 +363,18 @@ class Scorer:
             part = new[at : at + 8_192]
             self.gates[first + at : first + at + len(part)] = self.model.project(Words(part))
         coded = [np.fromiter(map(self.known.__getitem__, ws), np.int64, len(ws)) for ws in split]
-        ids, mask, doc = cut_windows(coded)
+        windows = Windows(coded)
         top = np.full(len(split), -np.inf)
-        np.maximum.at(top, doc, self.model.logits(self.gates, ids, mask))
+        np.maximum.at(top, windows.doc, self.model.logits(self.gates, windows))
         return np.where(np.isfinite(top), self.model.probability(top), 0.0)
 
 
 def score_toxicity(docs: DataFrame, model: AttentiveGru | None, text: str = "text", keep: list[str] | None = None, threshold: float = 0.7) -> DataFrame:
     """``keep`` columns (all by default) of ``docs`` with ``toxicity`` (0 to 1) and ``toxic_pred`` (1 from ``threshold`` on, else 0).
 
-    A null text, and one without words, scores 0, as does every text where the model is None. Columns named like the new ones
-    are replaced. An empty table gives no rows.
+    A null text, and one without words, scores 0, as does every text where the model is None. Very long texts are scored in
+    runs of windows; of windows that tie the value is the same. Every repeated row is scored, also with a null id. Columns
+    named like the new ones are replaced. An empty table gives no rows.
     """
     keep = [c for c in (keep if keep is not None else docs.columns) if c.lower() not in ("toxicity", "toxic_pred")]
     body = unused("_text", docs.columns)
@@ -346,10 +382,10 @@ def score_toxicity(docs: DataFrame, model: AttentiveGru | None, text: str = "tex
     if model is None:
         return base.select(*keep, F.lit(0.0).alias("toxicity"), F.lit(0).alias("toxic_pred"))
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = ship(docs.sparkSession, model)
 
     def score(parts):
-        scorer = Scorer(shared.value)
+        scorer = Scorer(unship(shared))
         for texts in parts:
             yield pd.Series(scorer(texts.tolist()))
         del scorer
