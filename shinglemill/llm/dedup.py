@@ -99,6 +99,8 @@ class Sketcher:
 
 
 def _sketches(docs: DataFrame, sketcher: Sketcher) -> DataFrame:
+    """The sketch of every row, with a number of its own; the numbers hold once the table is written."""
+
     def run(batches):
         memo = _Hashes()
         for batch in batches:
@@ -109,17 +111,17 @@ def _sketches(docs: DataFrame, sketcher: Sketcher) -> DataFrame:
             types = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 3
             yield pa.RecordBatch.from_arrays([ids, prints, *(pa.array(c, t) for c, t in zip(columns, types))], ["doc_id", "tfp", "n", "hi", "lo", "a", "b", "bits"])
 
-    return docs.mapInArrow(trimmed(run), _SCHEMA)
+    return docs.mapInArrow(trimmed(run), _SCHEMA).withColumn("row", F.monotonically_increasing_id())
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """Of ``(x, y)`` those whose full sets are linked. Texts are fetched for candidates only."""
     ids = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct()
-    ids = scratch.keep(ids.join(scratch.reps.select(F.col("rep").alias("id"), "tfp"), "id"), f"{name}-ids")
+    ids = scratch.keep(ids.join(scratch.reps.select(F.col("rep").alias("id"), "doc", F.col("tfp").alias("print")), "id"), f"{name}-ids")
     side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = docs.join(side, (F.col("doc_id") == F.col("id")) & (docs["tfp"] == ids["tfp"]), "left_semi").select("doc_id", "text")
-    texts = scratch.keep(texts.groupBy("doc_id").agg(F.min("text").alias("text")), f"{name}-texts")
-    joined = pairs.join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("tx")), "x").join(texts.select(F.col("doc_id").alias("y"), F.col("text").alias("ty")), "y")
+    texts = docs.join(side, (F.col("doc_id") == F.col("doc")) & (F.col("tfp") == F.col("print"))).select("id", "text")
+    texts = scratch.keep(texts.groupBy("id").agg(F.min("text").alias("text")), f"{name}-texts")
+    joined = pairs.join(texts.select(F.col("id").alias("x"), F.col("text").alias("tx")), "x").join(texts.select(F.col("id").alias("y"), F.col("text").alias("ty")), "y")
 
     def run(batches):
         last: dict = {}
@@ -171,13 +173,20 @@ def _apart(members: DataFrame, percent: int) -> DataFrame:
     return members.mapInArrow(trimmed(run), "x long, y long").distinct()
 
 
+def _documents_of(links: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links of classes as links of their smallest ids."""
+    of = lambda x, u: reps.select(F.col("rep").alias(x), F.col("doc").alias(u))
+    return links.join(of("x", "u"), "x").join(of("y", "v"), "y").select("u", "v")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, collections: int = 7, rows: int = 2, seed: int = 11) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs``.
 
     Documents are linked when 100 * intersection >= ``percent`` * union of their sets. component_id is the smallest id
     reachable over links, kept tells whether it is the row's own. A null or empty text, or one of white space, has an
     empty set and is linked with nothing. A row with a null id is linked with nothing, has no component and is kept. Rows
-    that repeat an id are one document. Other columns are ignored. An empty table gives no rows.
+    that repeat an id are one document, linked with all that one of its texts is linked with. Texts of any length are read
+    whole; their minhashes are taken in blocks. Other columns are ignored. An empty table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -185,8 +194,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tfp"), F.col(text).alias("text"))
     sketches = scratch.keep(_sketches(docs, Sketcher(words, collections, rows, seed)), "sketches")
     known = sketches.filter("n > 0 and doc_id is not null")
-    reps = known.groupBy("hi", "lo", "n").agg(F.min(F.struct("doc_id", "tfp")).alias("r"), *(F.first(c).alias(c) for c in ("a", "b", "bits")))
-    reps = scratch.reps = scratch.keep(reps.select("hi", "lo", "n", F.col("r.doc_id").alias("rep"), F.col("r.tfp").alias("tfp"), "a", "b", "bits"), "reps")
+    reps = known.groupBy("hi", "lo", "n").agg(F.min(F.struct("doc_id", "row", "tfp")).alias("r"), *(F.first(c).alias(c) for c in ("a", "b", "bits")))
+    reps = scratch.reps = scratch.keep(reps.select("hi", "lo", "n", F.col("r.row").alias("rep"), F.col("r.doc_id").alias("doc"), F.col("r.tfp").alias("tfp"), "a", "b", "bits"), "reps")
+    same = _repeated_ids(known, reps, scratch)
 
     keys = reps.select("rep", F.posexplode("a").alias("i", "x"), "b").select("rep", "i", "x", F.posexplode("b").alias("j", "y")).select("rep", F.xxhash64("i", "j", "x", "y").alias("key"))
     pivots = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("other")).filter("pivot < other").drop("other")
@@ -198,10 +208,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     stars = stars.select("rep", "pivot", (F.col("n") + F.col("n2")).alias("sum"), differ.alias("differ")).filter((100 - percent) * F.col("sum") >= (100 + percent) * F.col("differ"))
     nearest = stars.groupBy("rep").agg(F.min_by("pivot", F.struct(F.col("differ") / F.col("sum"), "pivot")).alias("pivot"))
     first = _verify(scratch.keep(nearest.select(F.col("pivot").alias("x"), F.col("rep").alias("y")), "first"), docs, words, percent, scratch, "first")
-    label = connected_components(first, "x", "y", "near-duplicates-first")
+    first = scratch.keep(_documents_of(first, reps), "first-documents")
+    label = connected_components(first, "u", "v", "near-duplicates-first").select(F.col("id").alias("doc"), "component")
+    label = reps.select("rep", "doc").join(label, "doc", "left").select("rep", F.coalesce("component", "doc").alias("label"))
 
-    labelled = members.select("key", "rep").join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("label"))
-    labelled = scratch.keep(labelled, "labelled")
+    labelled = scratch.keep(members.select("key", "rep").join(label, "rep"), "labelled")
     mixed = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("same")).filter("l < m")
     mixed = mixed.groupBy("same", "size").agg(F.min("key").alias("key"))  # tables often repeat a bucket
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
@@ -211,17 +222,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     placed = placed.select("key", "rep", "label", F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"), (F.col("block") > F.col("with")).cast("int").alias("side"))
     grouped = placed.join(maps, "rep").groupBy("key", "p", "q").agg(F.collect_list(F.struct("rep", "label", "n", "bits", "side")).alias("group")).select("group")
     second = _verify(scratch.keep(_apart(grouped, percent), "second"), docs, words, percent, scratch, "second")
-    component = connected_components(first.unionByName(second), "x", "y", "near-duplicates-last")
+    links = first.unionByName(_documents_of(second, reps)).unionByName(same)
+    component = connected_components(links, "u", "v", "near-duplicates-last")
 
-    classes = reps.select("hi", "lo", "n", "rep").join(component.select(F.col("id").alias("rep"), "component"), "rep", "left").select("hi", "lo", "n", F.coalesce("component", "rep").alias("component"))
+    classes = reps.select("hi", "lo", "n", "doc").join(component.select(F.col("id").alias("doc"), "component"), "doc", "left").select("hi", "lo", "n", F.coalesce("component", "doc").alias("component"))
     out = sketches.select("doc_id", "n", "hi", "lo").join(classes, ["hi", "lo", "n"], "left")
     component_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     scratch.drop("members", "labelled", "first", "second", "first-texts", "second-texts")
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), component_id.alias("component_id"), F.coalesce(F.col("doc_id") == component_id, F.lit(True)).alias("kept"))
 
 
+def _repeated_ids(known: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(u, v)``: ids that repeat with different sets, and the smallest id of each of these sets."""
+    one = F.xxhash64("hi", "lo", "n")
+    ids = known.groupBy("doc_id").agg(F.min(one).alias("least"), F.max(one).alias("most")).filter("least < most").select("doc_id")
+    ids = scratch.keep(ids, "repeated")
+    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    sets = known.select("doc_id", "hi", "lo", "n").join(side, "doc_id").distinct()
+    return sets.join(reps.select("hi", "lo", "n", "doc"), ["hi", "lo", "n"]).select(F.col("doc_id").alias("u"), F.col("doc").alias("v"))
+
+
 def op1_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=4)
 
 
+#: The same by SQL: shingles met in an inverted index, links followed to the smallest id.
+ORACLES = {
+    "op1_minhash_near_duplicates": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(1, len(w) - 3) + 1), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w),
+u AS (SELECT doc_id, len(s) AS n, unnest(s) AS h FROM s),
+p AS (SELECT a.doc_id AS i, b.doc_id AS j FROM u a JOIN u b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+e AS (SELECT i, j FROM p UNION ALL SELECT j, i FROM p),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.j FROM r JOIN e ON r.b = e.i),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (doc_id)""",
+}
 QUERIES = {"op1_minhash_near_duplicates": op1_minhash_near_duplicates}
