@@ -100,7 +100,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embe
 
     Rows are linked when their labels are equal and not null and their cosine, in double precision, is at least ``threshold``.
     n_links counts the other rows linked directly. Rows with a null id or label, and vectors that are null, empty, zero or
-    hold null or non-finite components link with nothing; so do vectors of different lengths. Equal vectors are one class
+    hold null or non-finite components link with nothing; so do vectors of different lengths. Vectors of any length are read whole. Equal vectors are one class
     with a weight. Rows that repeat an id and vector count as vectors of their own with that id. Other columns are
     ignored. An empty table gives no rows.
     """
@@ -137,4 +137,14 @@ def op3_hyperplane_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+#: The same by SQL: all pairs of a label, links followed to the smallest id.
+ORACLES = {
+    "op3_hyperplane_near_vectors": """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+g AS (SELECT * FROM v WHERE label IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS i, b.vec_id AS j FROM g a JOIN g b ON a.label = b.label AND a.vec_id < b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+e AS (SELECT i, j FROM p UNION ALL SELECT j, i FROM p),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, e.j FROM r JOIN e ON r.b = e.i),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM e WHERE e.i = c.vec_id)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM c""",
+}
 QUERIES = {"op3_hyperplane_near_vectors": op3_hyperplane_near_vectors}

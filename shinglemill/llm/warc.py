@@ -80,7 +80,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url: st
     """Writes a record for every page, null html as an empty payload.
 
     Of pages with equal payloads of at least ``least`` bytes that with the largest id is a response and the others are
-    revisits; rows that repeat that id are responses too, and a null id revisits any other. Files stay below
+    revisits; rows that repeat that id are responses too, and a null id revisits any other. An empty table gives archives
+    without records. Files stay below
     ``segment_bytes * records_per_file`` bytes and headers, whatever a page holds.
     """
     small_batches(pages.sparkSession)
@@ -206,4 +207,13 @@ def op9_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve_revisits(read_archives(spark, path))
 
 
+#: The same by SQL; base32 takes the digest five bits at a time.
+ORACLES = {
+    "op9_warc_reassembly": """WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, octet_length(encode(body))::BIGINT AS payload_bytes, lower(sha1(body)) AS h FROM p),
+b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * (instr('0123456789abcdef', h[i]) - 1) + 1, 4)), '') AS bits FROM d),
+x AS (SELECT *, array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(0, 5), lambda j: (bits[5 * k + j + 1] = '1')::INT * (16 >> j)))::BIGINT, 1)), '') AS payload_digest FROM b),
+t AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM x)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < top THEN top END AS refers_to, 'ok' AS status FROM t""",
+}
 QUERIES = {"op9_warc_reassembly": op9_warc_reassembly}
