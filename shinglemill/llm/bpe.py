@@ -9,12 +9,15 @@ counts that choose the frequent words, and texts of any size stay in the task th
 2. a task splits each document and hands on, per document, word numbers and the bytes of words that it hasn't met before;
 3. these are encoded by the same fold;
 4. the task, which still has the ids of the words it met before, joins ids.
+
+Words of more than 1,024 bytes are the exception: a fold's time grows with the square of a word's length, so these are merged
+by a heap. Decoding concatenates the binary pieces of a document's ids in one Spark expression.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
+import heapq
 import re
 import zlib
 from collections import Counter
@@ -35,6 +38,8 @@ from shinglemill.scratch import Scratch
 _ID, _NONE = 17, (1 << 17) - 1
 #: Words whose numbers, or counts, a task holds at once.
 _WORDS = 100_000
+#: Characters from which a text's words aren't held all at once.
+_LONG = 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -180,11 +185,15 @@ class Splitter:
 
     def __init__(self, pattern: str):
         full = pattern.replace(r"[^\s", f"[^{_SPACE}").replace(r"\S", f"[^{_SPACE}]").replace(r"\s", f"[{_SPACE}]")
-        self.full = regex.compile(full).findall
-        self.latin = re.compile(full.replace(r"\p{L}+", f"[{_class(r'\p{L}')}]+").replace(r"\p{N}+", f"[{_class(r'\p{N}')}]+").replace(r"\p{L}", _class(r"\p{L}")).replace(r"\p{N}", _class(r"\p{N}"))).findall
+        self.full, self.every = (lambda r: (r.findall, r.finditer))(regex.compile(full))
+        latin = re.compile(full.replace(r"\p{L}+", f"[{_class(r'\p{L}')}]+").replace(r"\p{N}+", f"[{_class(r'\p{N}')}]+").replace(r"\p{L}", _class(r"\p{L}")).replace(r"\p{N}", _class(r"\p{N}")))
+        self.latin, self.every_latin = latin.findall, latin.finditer
         self.other = re.compile("[\u0250-\U0010ffff]").search
 
-    def __call__(self, text: str) -> list[str]:
+    def __call__(self, text: str):
+        """All words; of a long text one after the other, so that they needn't be held at once."""
+        if len(text) > _LONG:
+            return (m.group() for m in (self.every if self.other(text) else self.every_latin)(text))
         return self.full(text) if self.other(text) else self.latin(text)
 
 
@@ -247,50 +256,86 @@ def _frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.filter(step >= least) if least is not None else counts.filter("false")
 
 
-def _gather(flat, starts, sizes, codes):
-    """``flat`` at the runs of ``codes``, and the end of each run."""
-    n = sizes[codes].astype(np.int64)
-    ends = np.cumsum(n)
-    at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n - starts[codes], n)
-    return flat[at], ends
-
-
-def _ragged(parts: list, dtype) -> tuple:
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    flat = np.concatenate(parts).astype(dtype) if parts else np.empty(0, dtype)
-    return flat, np.cumsum(sizes) - sizes, sizes
+class _Lists:
+    """Runs of numbers, one after the other in ``flat``."""
 
+    def __init__(self, flat, sizes):
+        self.flat, self.sizes, self.starts = flat, sizes, np.cumsum(sizes) - sizes
 
-class Vocabulary:
-    """Decoding, and ids as decimal text, for many documents at once."""
-
-    def __init__(self, ranks: dict[bytes, int]):
-        pieces = [b""] * (max(ranks.values()) + 1)
-        for piece, i in ranks.items():
-            pieces[i] = piece
-        self.pieces = _ragged([np.frombuffer(p, np.uint8) for p in pieces], np.uint8)
-        self.decimals = _ragged([np.frombuffer(b"%d " % i, np.uint8) for i in range(len(pieces))], np.uint8)
+    def __len__(self):
+        return len(self.sizes)
 
     @staticmethod
-    def _runs(table, ids, ends):
-        flat, stops = _gather(*table, ids)
-        stops = np.concatenate([[0], stops])[np.concatenate([[0], ends])]
-        return [flat[a:b].tobytes() for a, b in zip(stops[:-1], stops[1:])]
-
-    def decode(self, ids, ends) -> list[bytes]:
-        return self._runs(self.pieces, ids, ends)
+    def none() -> _Lists:
+        return _Lists(np.empty(0, np.int32), np.empty(0, np.int64))
 
-    def text_of_ids(self, ids, ends) -> list[bytes]:
-        return [x[:-1] for x in self._runs(self.decimals, ids, ends)]
-
-
-def encode(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id", text: str = "text", frequent: int = 700_000, render=None, schema: str = "ids array<int>") -> DataFrame:
+    @staticmethod
+    def of(column) -> _Lists:
+        """The runs of an Arrow column of lists."""
+        return _Lists(np.asarray(column.flatten()), pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
+
+    def __add__(self, more: _Lists) -> _Lists:
+        return _Lists(np.concatenate([self.flat, more.flat]), np.concatenate([self.sizes, more.sizes]))
+
+
+def _gather(known: _Lists, fresh: _Lists, codes):
+    """The runs of ``codes``, joined, and the end of each; codes from ``len(known)`` on are those of ``fresh``."""
+    new = codes >= len(known)
+    if not new.any():
+        n, start = known.sizes[codes], known.starts[codes]
+    else:
+        n, start = np.empty(len(codes), np.int64), np.empty(len(codes), np.int64)
+        old, late = codes[~new], codes[new] - len(known)
+        n[~new], start[~new] = known.sizes[old], known.starts[old]
+        n[new], start[new] = fresh.sizes[late], len(known.flat) + fresh.starts[late]
+    ends = np.cumsum(n)
+    at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n - start, n)
+    if not new.any():
+        return known.flat[at], ends
+    out, low = np.empty(len(at), np.int32), at < len(known.flat)
+    out[low], out[~low] = known.flat[at[low]], fresh.flat[at[~low] - len(known.flat)]
+    return out, ends
+
+
+def merge_long(raw: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
+    """The ids of a very long word: the same merges in the same order by a heap, in about n log n steps, where a fold takes n * n."""
+    n = len(raw)
+    stop, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that begins at a byte; a stop of 0: merged away
+
+    def pair(i):
+        mid = stop[i]
+        if mid < n and stop[mid] - i <= longest:
+            rank = ranks.get(raw[i : stop[mid]])
+            if rank is not None:
+                return rank, i, mid, stop[mid]
+
+    heap = [p for p in map(pair, range(n)) if p]
+    heapq.heapify(heap)
+    while heap:
+        _, i, mid, end = heapq.heappop(heap)
+        if stop[i] != mid or stop[mid] != end:
+            continue
+        stop[i], stop[mid] = end, 0
+        if end < n:
+            before[end] = i
+        for j in (before[i], i):
+            if j >= 0 and (p := pair(j)):
+                heapq.heappush(heap, p)
+    ids, at = [], 0
+    while at < n:
+        ids.append(ranks[raw[at : stop[at]]])
+        at = stop[at]
+    return ids
+
+
+def encode(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id", text: str = "text", frequent: int = 700_000, most_fresh: int = 200_000, long_word: int = 1_024) -> DataFrame:
     """``(id, ids)`` for every row of ``docs``: the ids of its whole text by the rank file ``tokenizer``, every match of ``pattern``
     encoded separately, without special tokens.
 
-    A null or empty text has no ids. Repeated rows are encoded each, other columns are ignored, an empty table gives no
-    rows. ``frequent`` bounds the words that tasks get beforehand (about 30 bytes each); other words are encoded where they
-    occur. ``render(ids, ends)`` may turn a run of documents' ids into the columns of ``schema`` in place of ``ids``.
+    A null or empty text has no ids. Repeated rows, and rows with a null id, are encoded each; very long texts are split as
+    they are read; other columns are ignored; an empty table gives no rows. ``frequent`` bounds the words that tasks get
+    beforehand (about 30 bytes each); other words are encoded once where they occur, at most about ``most_fresh`` being
+    remembered. Words above ``long_word`` bytes are merged by a heap, as a fold's time grows with the square of a word.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -311,18 +356,20 @@ def encode(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id"
     del known
     order = np.argsort(hashed)
     n_known = len(order)
+    starts = np.cumsum(sizes) - sizes
     index = spark.sparkContext.broadcast((hashed[order], checks[order]))
-    lists = spark.sparkContext.broadcast((flat, (np.cumsum(sizes) - sizes)[order], sizes[order]))
-    del hashed, checks, sizes, flat, order
+    lists = spark.sparkContext.broadcast((flat, starts[order], sizes[order]))
+    long_ranks = spark.sparkContext.broadcast((ranks, max(map(len, ranks))))
+    del hashed, checks, sizes, flat, order, starts, ranks
     trim()
 
     def number(batches):
         hashes, checks = index.value
         split = Splitter(pattern)
-        local, codes_of, fresh = _Numbers(), np.empty(0, np.int32), {}
+        local, codes_of, fresh, generation = _Numbers(), np.empty(0, np.int32), {}, 0
 
         def learn(words: list) -> tuple[np.ndarray, list]:
-            """Codes of words, and the bytes of those that nobody has encoded yet."""
+            """Codes of words, and the bytes of those that this task doesn't know; long ones as ids already, below zero."""
             raw = [w.encode() for w in words]
             hashed = np.fromiter(map(xxhash.xxh64_intdigest, raw, repeat(42)), np.uint64, len(raw)).view(np.int64)
             crc = np.fromiter(map(zlib.crc32, raw), np.uint32, len(raw))
@@ -332,61 +379,63 @@ def encode(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id"
             for i in np.flatnonzero(~hit).tolist():
                 if words[i] not in fresh:
                     fresh[words[i]] = n_known + len(fresh)
-                    new.append(raw[i])
+                    new.append(list(raw[i]) if len(raw[i]) <= long_word else [-1 - t for t in merge_long(raw[i], *long_ranks.value)])
                 at[i] = fresh[words[i]]
             return at, new
 
         for batch in batches:
             for at, part in _slices(batch.column(1)):
-                if len(local) > _WORDS:
+                if len(local) > _WORDS or len(fresh) > most_fresh:
                     local, codes_of = _Numbers(), codes_of[:0]
-                split_up = [split(t) for t in part]
-                sizes = np.fromiter(map(len, split_up), np.int64, len(part))
-                numbers = np.fromiter(map(local.__getitem__, chain.from_iterable(split_up)), np.int32, sizes.sum())
-                del split_up
+                if len(fresh) > most_fresh:
+                    fresh.clear()
+                    generation += 1
+                numbers = [np.fromiter(map(local.__getitem__, split(t)), np.int32) for t in part]
+                sizes = np.fromiter(map(len, numbers), np.int64, len(part))
                 met, new = learn(list(islice(local, len(codes_of), None)))
                 codes_of = np.concatenate([codes_of, met])
-                codes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(codes_of[numbers]))
-                first = [[list(w) for w in new]] + [[]] * (len(part) - 1)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), codes, pa.array(first, pa.list_(pa.list_(pa.int64())))], ["id", "codes", "fresh"])
-
-    out_names = [c.split()[0] for c in schema.split(", ")]
+                codes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(codes_of[np.concatenate(numbers)]))
+                first = [new] + [[]] * (len(part) - 1)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), codes, pa.array(first, pa.list_(pa.list_(pa.int64()))), pa.array(np.full(len(part), generation, np.int32))], ["id", "codes", "fresh", "generation"])
 
     def join(batches):
         flat, starts, sizes = lists.value
-        more: list = []
+        known = _Lists(flat, sizes)
+        known.starts = starts
+        fresh, generation = _Lists.none(), -1
         for batch in batches:
-            encoded = [np.asarray(ids, np.int32) for doc in batch.column("encoded").to_pylist() for ids in doc or []]
-            if encoded:
-                more_flat, more_starts, more_sizes = _ragged(encoded, np.int32)
-                starts = np.concatenate([starts, more_starts + len(flat)])
-                sizes, flat = np.concatenate([sizes, more_sizes]), np.concatenate([flat, more_flat])
-            column = batch.column("codes")
-            offsets = np.asarray(column.offsets)
-            codes = np.asarray(column.values)
-            at = 0
-            while at < len(column):
-                upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + 50_000, "right")) - 1)
-                ids, ends = _gather(flat, starts, sizes, codes[offsets[at] : offsets[upto]])
-                ends = np.concatenate([[0], ends])[offsets[at + 1 : upto + 1] - offsets[at]]
-                if render:
-                    columns = render(ids, ends)
-                else:
-                    columns = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, upto - at), *columns], [id_col, *out_names])
-                at = upto
+            born = batch.column("generation").to_numpy()
+            bounds = [0, *(np.flatnonzero(np.diff(born)) + 1).tolist(), len(born)] if len(born) else [0]
+            for low, high in zip(bounds, bounds[1:]):
+                part = batch.slice(low, high - low)
+                if born[low] != generation:
+                    fresh, generation = _Lists.none(), born[low]
+                words = part.column("encoded").flatten()
+                if len(words):
+                    fresh = fresh + _Lists.of(words)
+                column = part.column("codes")
+                offsets, codes = np.asarray(column.offsets), np.asarray(column.values)
+                at = 0
+                while at < len(column):
+                    upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + 50_000, "right")) - 1)
+                    ids, ends = _gather(known, fresh, codes[offsets[at] : offsets[upto]])
+                    ends = np.concatenate([[0], ends])[offsets[at : upto + 1] - offsets[at]]
+                    yield pa.RecordBatch.from_arrays([part.column("id").slice(at, upto - at), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))], [id_col, "ids"])
+                    at = upto
 
     kind = dict(docs.dtypes)[id_col]
-    numbered = rows.mapInArrow(trimmed(number), f"id {kind}, codes array<int>, fresh array<array<bigint>>")
-    encoded = numbered.select("id", "codes", F.transform("fresh", lambda w: encode_word(w, table)).alias("encoded"))
-    return encoded.mapInArrow(trimmed(join), f"`{id_col}` {kind}, {schema}")
+    numbered = rows.mapInArrow(trimmed(number), f"id {kind}, codes array<int>, fresh array<array<bigint>>, generation int")
+    given = lambda w: F.transform(w, lambda x: (-1 - x).cast("int"))
+    encoded = numbered.select("id", "codes", F.transform("fresh", lambda w: F.when(F.get(w, F.lit(0)) < 0, given(w)).otherwise(encode_word(w, table))).alias("encoded"), "generation")
+    return encoded.mapInArrow(trimmed(join), f"`{id_col}` {kind}, ids array<int>")
 
 
-def decode(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """``(id, content BINARY)``: the binary pieces of every row's ids, concatenated. Null ids give empty content."""
-    pieces = F.from_json(F.lit(_pieces_json(read_ranks(tokenizer))), "array<binary>")
-    parts = F.transform(F.coalesce(F.col(ids), F.array().cast("array<int>")), lambda i: F.hex(F.get(pieces, i)))
-    return encoded.select(id_col, F.unhex(F.array_join(parts, "")).alias("content"))
+def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids", out: str = "content") -> DataFrame:
+    """``encoded`` with the column ``out BINARY``: the binary pieces of every row's ids, concatenated. Null ids and ids that the
+    vocabulary doesn't have give nothing. Bytes go through string columns as they are, since strings can be joined in one step."""
+    pieces = F.from_json(F.lit(_pieces_json(read_ranks(tokenizer))), "array<binary>").cast("array<string>")
+    parts = F.transform(F.coalesce(F.col(ids), F.array().cast("array<int>")), lambda i: F.get(pieces, i))
+    return encoded.withColumn(out, F.array_join(parts, "").cast("binary"))
 
 
 def _pieces_json(ranks: dict[bytes, int]) -> str:
@@ -396,15 +445,9 @@ def _pieces_json(ranks: dict[bytes, int]) -> str:
 
 def digests(docs: DataFrame, tokenizer: str, pattern: str) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of the encoded and decoded text of every document."""
-    words = Vocabulary(read_ranks(tokenizer))
-    shared = docs.sparkSession.sparkContext.broadcast(words)
-
-    def render(ids, ends):
-        sha = lambda parts: pa.array([hashlib.sha256(p).hexdigest() for p in parts], pa.string())
-        v = shared.value
-        return [pa.array(np.diff(ends, prepend=0), pa.int64()), sha(v.text_of_ids(ids, ends)), sha(v.decode(ids, ends))]
-
-    return encode(docs, tokenizer, pattern, render=render, schema="n_tokens long, ids_sha256 string, decoded_sha256 string")
+    decoded = decode(encode(docs, tokenizer, pattern), tokenizer)
+    decimal = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal.cast("binary"), 256).alias("ids_sha256"), F.sha2("content", 256).alias("decoded_sha256"))
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
