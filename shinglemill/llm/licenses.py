@@ -44,7 +44,7 @@ NOTICES = (
 SIGNS = r"(?i)licen[sc]e|rights reserved|permission (?:is|to) |redistribut|public domain|public license|free software|cc by"
 
 _SIGN, _WORD, _PARAGRAPH = re.compile(SIGNS), re.compile(r"[^\W_]+(?:[.-][^\W_]+)*"), re.compile(r"\n[ \t]*\n")
-#: Characters of a line or paragraph on each side of a sign; longer blocks are cut there, at more than a notice's length.
+#: Characters of a line or paragraph on each side of a sign; longer blocks are cut there, but not below four times the longest notice.
 _REACH = 1_600
 
 
@@ -95,6 +95,7 @@ def _apart(hits: list[tuple]) -> list[tuple]:
 class Scanner:
     def __init__(self, notices=NOTICES, level: int = 3, tolerance: float = 0.15):
         self.notices, self.tolerance = notices, tolerance
+        self.reach = max(_REACH, 4 * max(len(text) for _, text in notices))
         self.words = [_words(text)[0] for _, text in notices]
         self.counts = [Counter(words) for words in self.words]
         self.plain = zstandard.ZstdCompressor(level=level, write_content_size=False)
@@ -144,7 +145,7 @@ class Scanner:
         """Notices in a whole text, with offsets in characters; a stretch found in a line and in its paragraph counts once."""
         blocks = set()
         for sign in _SIGN.finditer(text):
-            low, high = max(0, sign.start() - _REACH), min(len(text), sign.end() + _REACH)
+            low, high = max(0, sign.start() - self.reach), min(len(text), sign.end() + self.reach)
             line = max(text.rfind("\n", low, sign.start()) + 1, low), text.find("\n", sign.end(), high)
             blocks.add((line[0], line[1] if line[1] >= 0 else high))
             breaks = [m.span() for m in _PARAGRAPH.finditer(text, low, high)]
@@ -158,8 +159,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", notices=NO
     """``(id, license, start, end, gain, differences, notice_words, wording)`` for every notice found in the whole texts.
 
     Offsets count characters from 0, end excluded. Documents without a word of licensing are filtered out on the JVM side; null
-    and empty texts have no notices. Repeated rows give repeated findings; other columns are ignored; an empty table
-    gives no rows.
+    and empty texts have no notices. Very long texts are read whole, in blocks around each word of licensing. Of stretches
+    that overlap the one of fewer differences, then of more words, is kept. Repeated rows give repeated findings; other
+    columns are ignored; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
