@@ -30,7 +30,8 @@ def _side(spark: SparkSession, ids: DataFrame, name: str) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: null texts and texts without a letter. Others keep their row; ``lang`` becomes the
-    predicted language where it was null."""
+    predicted language where it was null. Repeated rows, and rows with a null id, are treated each on its own; an empty table
+    stays empty."""
     model = langid.train(docs)
     found = langid.identify(docs.select(*COLUMNS), model)
     known = found if model is None else found.filter("lang_pred <> 'und'")
@@ -39,36 +40,51 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the network takes for toxic. It learns from the labels of this stage's own documents."""
+    """Drops documents that the network takes for toxic. It learns from the labels of this stage's own documents. Repeated rows, and
+    rows with a null id, are scored each on its own; an empty table stays empty."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.train(docs, labels)
     return toxicity.score_toxicity(docs.select(*COLUMNS), model).filter("toxic_pred = 0").select(*COLUMNS)
 
 
+def _repeated(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Ids of several rows."""
+    ids = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
+    return Scratch(spark, "pipeline-side").keep(ids, "repeated")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group of near-duplicates (five-word shingles, similarity 0.8), and one
-    row of an id that repeats. Rows without an id are kept."""
+    """Keeps the document of the smallest id of each group of near-duplicates (five-word shingles, similarity 0.8). Rows that
+    repeat an id are one document: all its different texts stay with it, each in one row, that of the smallest other columns.
+    Rows without an id are kept; an empty table stays empty."""
     kept = dedup.near_duplicates(docs, words=5, percent=80).filter("kept and doc_id is not null").select("doc_id").distinct()
     whole = docs.select(*COLUMNS)
-    chosen = whole.join(_side(spark, kept, "kept"), "doc_id", "left_semi")
-    repeated = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
-    repeated = Scratch(spark, "pipeline-side").keep(repeated, "repeated")
-    if repeated.isEmpty():
-        return chosen.unionByName(whole.filter("doc_id is null"))
-    single, many = chosen.join(repeated, "doc_id", "left_anti"), chosen.join(repeated, "doc_id", "left_semi")
-    return single.select(*COLUMNS).unionByName(many.dropDuplicates(["doc_id"]).select(*COLUMNS)).unionByName(whole.filter("doc_id is null"))
+    chosen = whole.join(_side(spark, kept, "kept"), "doc_id", "left_semi").select(*COLUMNS)
+    repeated = _repeated(spark, docs)
+    if not repeated.isEmpty():
+        others = [c for c in COLUMNS if c not in ("doc_id", "text")]
+        many = chosen.join(repeated, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("rest")).select("doc_id", "text", "rest.*")
+        chosen = chosen.join(repeated, "doc_id", "left_anti").select(*COLUMNS).unionByName(many)
+    return chosen.unionByName(whole.filter("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out documents so that sources have their target tokens. Rows without an id share a number of copies."""
-    copies = mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").alias("copies")).filter("copies > 0")
-    copies = _side(spark, copies, "copies")
-    taken = docs.select(*COLUMNS).join(copies, docs["doc_id"].eqNullSafe(copies["doc_id"])).drop(copies["doc_id"])
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+    """Repeats or leaves out documents so that sources have their target tokens. Where ids are null or repeated, rows are numbered
+    in a written table, as each row is a document of its own to the mix. An empty table stays empty."""
+    docs = docs.select(*COLUMNS)
+    unique = _repeated(spark, docs).isEmpty() and docs.filter("doc_id is null").isEmpty()
+    if unique:
+        key, copies = "doc_id", mixing.mix(docs).select("doc_id", "copies")
+    else:
+        key = "_row"
+        docs = Scratch(spark, "pipeline-side").keep(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
+        copies = mixing.mix(docs, keep=(key,)).select(key, "copies")
+    taken = docs.join(_side(spark, copies.filter("copies > 0"), "copies"), key)
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of every row."""
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of every row, repeated ones and those with a null id too."""
     import public_tokenizers
 
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
