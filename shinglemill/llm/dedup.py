@@ -145,15 +145,17 @@ def _verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scratch
     return scratch.keep(joined.select("x", "y", "tx", "ty").mapInArrow(trimmed(run), "x long, y long"), f"{name}-links")
 
 
-def _apart(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket's block pair that are in different components and that the parity maps allow. members:
-    ``group``: array of (rep, label, n, bits, side), side 0 for the first block, 1 for the second; equal blocks have side 0 only."""
+def _apart(members: DataFrame, percent: int, collections: int) -> DataFrame:
+    """Pairs of one bucket's block pair that are in different components and that sizes and parity maps allow, each from the first
+    table in which they meet. members: ``table``, and ``group``: array of (rep, label, n, bits, a, b, side), side 0 for the first
+    block, 1 for the second; equal blocks have side 0 only."""
 
     def run(batches):
         for batch in batches:
             xs, ys = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for group in batch.column(0):
+            for table, group in zip(batch.column("table").to_pylist(), batch.column("group")):
                 v = group.values
+                a, b = (v.field(f).flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1) for f in ("a", "b"))
                 rep, label, n, side = (v.field(f).to_numpy(zero_copy_only=False) for f in ("rep", "label", "n", "side"))
                 maps = v.field("bits").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(rep), -1)
                 first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
@@ -164,8 +166,11 @@ def _apart(members: DataFrame, percent: int) -> DataFrame:
                     differ = np.bitwise_count(maps[rows, None] ^ maps[None, second]).sum(2, dtype=np.int64)
                     may = (100 - percent) * (n[rows, None] + n[None, second]) >= (100 + percent) * differ
                     may &= label[rows, None] != label[None, second]
+                    may &= 100 * np.minimum(n[rows, None], n[None, second]) >= percent * np.maximum(n[rows, None], n[None, second])
                     i, j = np.nonzero(may)
-                    x, y = rep[rows[i]], rep[second[j]]
+                    i, j = rows[i], second[j]
+                    here = (a[i] == a[j]).argmax(1) * collections + (b[i] == b[j]).argmax(1) == table
+                    x, y = rep[i[here]], rep[j[here]]
                     xs.append(np.minimum(x, y))
                     ys.append(np.maximum(x, y))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(xs)), pa.array(np.concatenate(ys))], ["x", "y"])
@@ -198,7 +203,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     reps = scratch.reps = scratch.keep(reps.select("hi", "lo", "n", F.col("r.row").alias("rep"), F.col("r.doc_id").alias("doc"), F.col("r.tfp").alias("tfp"), "a", "b", "bits"), "reps")
     same = _repeated_ids(known, reps, scratch)
 
-    keys = reps.select("rep", F.posexplode("a").alias("i", "x"), "b").select("rep", "i", "x", F.posexplode("b").alias("j", "y")).select("rep", F.xxhash64("i", "j", "x", "y").alias("key"))
+    keys = reps.select("rep", F.posexplode("a").alias("i", "x"), "b").select("rep", "i", "x", F.posexplode("b").alias("j", "y"))
+    keys = keys.select("rep", F.xxhash64("i", "j", "x", "y").alias("key"), (F.col("i") * collections + F.col("j")).cast("smallint").alias("table"))
     pivots = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("other")).filter("pivot < other").drop("other")
     members = scratch.keep(keys.join(pivots, "key"), "members")
 
@@ -212,16 +218,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     label = connected_components(first, "u", "v", "near-duplicates-first").select(F.col("id").alias("doc"), "component")
     label = reps.select("rep", "doc").join(label, "doc", "left").select("rep", F.coalesce("component", "doc").alias("label"))
 
-    labelled = scratch.keep(members.select("key", "rep").join(label, "rep"), "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("same")).filter("l < m")
-    mixed = mixed.groupBy("same", "size").agg(F.min("key").alias("key"))  # tables often repeat a bucket
+    labelled = scratch.keep(members.select("key", "rep", "table").join(label, "rep"), "labelled")
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("same"), F.min("table").alias("table")).filter("l < m")
+    # Tables often repeat a bucket: the first of them stands for all, as its pairs can't have met earlier in another of them.
+    mixed = mixed.groupBy("same", "size").agg(F.min(F.struct("table", "key")).alias("k")).select("size", "k.table", "k.key")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    placed = labelled.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("block", block)
+    placed = labelled.drop("table").join(mixed.select("key", "table", blocks.alias("blocks")), "key").withColumn("block", block)
     placed = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("key", "rep", "label", F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"), (F.col("block") > F.col("with")).cast("int").alias("side"))
-    grouped = placed.join(maps, "rep").groupBy("key", "p", "q").agg(F.collect_list(F.struct("rep", "label", "n", "bits", "side")).alias("group")).select("group")
-    second = _verify(scratch.keep(_apart(grouped, percent), "second"), docs, words, percent, scratch, "second")
+    placed = placed.select("key", "table", "rep", "label", F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"), (F.col("block") > F.col("with")).cast("int").alias("side"))
+    grouped = placed.join(reps.select("rep", "n", "bits", "a", "b"), "rep").groupBy("key", "table", "p", "q")
+    grouped = grouped.agg(F.collect_list(F.struct("rep", "label", "n", "bits", "a", "b", "side")).alias("group")).select("table", "group")
+    second = _verify(scratch.keep(_apart(grouped, percent, collections), "second"), docs, words, percent, scratch, "second")
     links = first.unionByName(_documents_of(second, reps)).unionByName(same)
     component = connected_components(links, "u", "v", "near-duplicates-last")
 
