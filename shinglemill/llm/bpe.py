@@ -31,13 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shinglemill.llm.memory import small_batches, trim, trimmed
+from shinglemill.llm.memory import small_batches, trim, trim_driver, trimmed
 from shinglemill.scratch import Scratch
 
 #: Bits of a token id in a packed entry; an id that stands for "no merge".
 _ID, _NONE = 17, (1 << 17) - 1
 #: Words whose numbers, or counts, a task holds at once.
-_WORDS = 100_000
+_WORDS = 50_000
 #: Characters from which a text's words aren't held all at once.
 _LONG = 1 << 20
 
@@ -259,8 +259,8 @@ def _frequent(counts: DataFrame, most: int) -> DataFrame:
 class _Lists:
     """Runs of numbers, one after the other in ``flat``."""
 
-    def __init__(self, flat, sizes):
-        self.flat, self.sizes, self.starts = flat, sizes, np.cumsum(sizes) - sizes
+    def __init__(self, flat, sizes, starts=None):
+        self.flat, self.sizes, self.starts = flat, sizes, np.cumsum(sizes) - sizes if starts is None else starts
 
     def __len__(self):
         return len(self.sizes)
@@ -282,7 +282,7 @@ def _gather(known: _Lists, fresh: _Lists, codes):
     """The runs of ``codes``, joined, and the end of each; codes from ``len(known)`` on are those of ``fresh``."""
     new = codes >= len(known)
     if not new.any():
-        n, start = known.sizes[codes], known.starts[codes]
+        n, start = known.sizes[codes].astype(np.int64), known.starts[codes].astype(np.int64)
     else:
         n, start = np.empty(len(codes), np.int64), np.empty(len(codes), np.int64)
         old, late = codes[~new], codes[new] - len(known)
@@ -328,7 +328,7 @@ def merge_long(raw: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
     return ids
 
 
-def encode(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id", text: str = "text", frequent: int = 700_000, most_fresh: int = 200_000, long_word: int = 1_024) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id", text: str = "text", frequent: int = 700_000, most_fresh: int = 100_000, long_word: int = 1_024) -> DataFrame:
     """``(id, ids)`` for every row of ``docs``: the ids of its whole text by the rank file ``tokenizer``, every match of ``pattern``
     encoded separately, without special tokens.
 
@@ -358,10 +358,11 @@ def encode(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id"
     n_known = len(order)
     starts = np.cumsum(sizes) - sizes
     index = spark.sparkContext.broadcast((hashed[order], checks[order]))
-    lists = spark.sparkContext.broadcast((flat, starts[order], sizes[order]))
+    lists = spark.sparkContext.broadcast((flat, sizes[order].astype(np.int32), starts[order].astype(np.int32)))
     long_ranks = spark.sparkContext.broadcast((ranks, max(map(len, ranks))))
     del hashed, checks, sizes, flat, order, starts, ranks
     trim()
+    trim_driver(spark)
 
     def number(batches):
         hashes, checks = index.value
@@ -399,9 +400,7 @@ def encode(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id"
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), codes, pa.array(first, pa.list_(pa.list_(pa.int64()))), pa.array(np.full(len(part), generation, np.int32))], ["id", "codes", "fresh", "generation"])
 
     def join(batches):
-        flat, starts, sizes = lists.value
-        known = _Lists(flat, sizes)
-        known.starts = starts
+        known = _Lists(*lists.value)
         fresh, generation = _Lists.none(), -1
         for batch in batches:
             born = batch.column("generation").to_numpy()

@@ -9,11 +9,11 @@ offsets are added up beforehand into one table of class pairs, which halves the
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shinglemill.llm.memory import ship, small_batches, trim, unship
+from shinglemill.llm.memory import ship, small_batches, small_table, trim, unship, with_scores
 
 WIDTHS, FILTERS, WINDOW, CLASSES = (2, 3, 4), 12, 256, 64
 
@@ -136,7 +136,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_language:
         return None
     languages = sorted(r["lang"] for r in sizes)
     per_language = max(1, min(per_language, most_rows // len(languages)))
-    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, per_language / r["count"])) for r in sizes], "lang string, share double")
+    shares = small_table(docs.sparkSession, [(r["lang"], min(1.0, per_language / r["count"])) for r in sizes], "lang string, share double")
     rows = rows.join(F.broadcast(shares), "lang")
     draw = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 40))
     spare = F.greatest(F.length("text") - slice_chars, F.lit(0)) + 1
@@ -171,8 +171,8 @@ def identify(docs: DataFrame, model: ByteConvNet | None, text: str = "text", kee
     also with a null id. Columns of ``docs`` named like the new ones are replaced. An empty table gives no rows.
     """
     keep = [c for c in (keep if keep is not None else docs.columns) if c.lower() not in ("lang_pred", "lang_score")]
-    body, found, lettered = (unused(name, docs.columns) for name in ("_text", "_found", "_letters"))
-    base = docs.select(*keep, F.col(text).alias(body))
+    letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+    base = docs.select(*keep, F.col(text).alias(unused("_text", docs.columns)), letters.alias(unused("_letters", docs.columns)))
     if model is None:
         return base.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("lang_score"))
     small_batches(docs.sparkSession)
@@ -191,20 +191,20 @@ def identify(docs: DataFrame, model: ByteConvNet | None, text: str = "text", kee
             np.add.at(total, doc[at : at + 1024], p * weight)
         total /= total.sum(1, keepdims=True)
         best = total.argmax(1)
-        return pd.DataFrame({"lang_pred": np.array(net.languages, object)[best], "lang_score": np.minimum(total.max(1), 1.0)})
+        return best, np.minimum(total.max(1), 1.0)
 
-    def score(parts):
+    def scorer():
         net = unship(shared)
-        for texts in parts:
-            yield score_all(net, texts)
-        trim()
+        names = np.array([*net.languages, "und"], object)
 
-    score = F.pandas_udf(score, "lang_pred string, lang_score double", F.PandasUDFType.SCALAR_ITER)
+        def score(batch):
+            lettered = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+            best, top = score_all(net, batch.column(batch.num_columns - 2).to_pylist())
+            return pa.array(names[np.where(lettered, best, len(names) - 1)], pa.string()), pa.array(np.where(lettered, top, 0.0))
 
-    letters = F.coalesce(F.col(body).rlike(r"\p{L}"), F.lit(False))
-    scored = base.withColumn(found, score(body)).withColumn(lettered, letters)
-    value = lambda field, otherwise: F.when(F.col(lettered), F.col(found)[field]).otherwise(otherwise)
-    return scored.select(*keep, value("lang_pred", "und").alias("lang_pred"), value("lang_score", 0.0).alias("lang_score"))
+        return score
+
+    return with_scores(base, keep, "lang_pred string, lang_score double", scorer)
 
 
 def unused(name: str, columns: list[str]) -> str:

@@ -15,6 +15,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shinglemill.llm.memory import small_batches, small_table
 from shinglemill.scratch import Scratch
 
 #: Multipliers are the model; the driver holds one small row for each source, and refuses more sources than this.
@@ -47,7 +48,7 @@ def targets(sizes: dict, weights: list[float], share: float = 1.5, ceiling: floa
 
 def _with(df: DataFrame, side: list[tuple], schema: str) -> DataFrame:
     """``df`` joined null-safely by source with a row for each source, broadcast where their number allows it."""
-    right = df.sparkSession.createDataFrame(side, "_s string, " + schema)
+    right = small_table(df.sparkSession, side, "_s string, " + schema)
     right = F.broadcast(right) if len(side) <= BROADCAST_SOURCES else right
     return df.join(right, df["source"].eqNullSafe(right["_s"])).drop("_s")
 
@@ -99,6 +100,7 @@ def mix(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, id_col:
     gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "mix")
     body = F.coalesce(F.col(text), F.lit(""))
     rows = scratch.keep(docs.select(F.col(id_col).alias("id"), F.col(source).cast("string").alias("source"), F.regexp_count(body, F.lit(WORDS)).cast("bigint").alias("size"), *(F.col(c).alias(f"_{c}") for c in keep)).withColumn("row", F.monotonically_increasing_id()), "sizes")

@@ -13,12 +13,12 @@ import zlib
 from itertools import chain, islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shinglemill.llm.langid import held_out, unused
-from shinglemill.llm.memory import ship, small_batches, trim, unship
+from shinglemill.llm.memory import ship, small_batches, trim, trim_driver, unship, with_scores
 
 HASHED, DIM, HIDDEN = 1 << 15, 12, 8
 WINDOW, STRIDE = 64, 48
@@ -294,6 +294,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     those with text. A toxic one gives up to ``toxic_chars`` characters, as the mark doesn't tell where, a clean one up to
     ``most_chars``; longer texts give a slice of that length, from a place by hash. labels: id, ``toxic``; null marks are ignored. None where a class has no
     document."""
+    trim_driver(docs.sparkSession)
     rows = docs.select(id_col, F.col(text).alias("text")).filter(F.length("text") > 0)
     marked = labels.filter(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max("toxic").alias("toxic"))
     marked = marked.join(rows.select(id_col), id_col, "left_semi")
@@ -384,15 +385,11 @@ def score_toxicity(docs: DataFrame, model: AttentiveGru | None, text: str = "tex
     small_batches(docs.sparkSession)
     shared = ship(docs.sparkSession, model)
 
-    def score(parts):
-        scorer = Scorer(unship(shared))
-        for texts in parts:
-            yield pd.Series(scorer(texts.tolist()))
-        del scorer
-        trim()
+    def scorer():
+        score = Scorer(unship(shared))
+        return lambda batch: (pa.array(score(batch.column(batch.num_columns - 1).to_pylist())),)
 
-    score = F.pandas_udf(score, "double", F.PandasUDFType.SCALAR_ITER)
-    scored = base.withColumn("toxicity", score(body)).drop(body)
+    scored = with_scores(base, keep, "toxicity double", scorer)
     return scored.withColumn("toxic_pred", (F.col("toxicity") >= threshold).cast("int"))
 
 
