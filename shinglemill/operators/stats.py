@@ -10,9 +10,6 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Clusters that a bootstrap takes to the driver (24 bytes each).
-MAX_CLUSTERS = 5_000_000
-
 
 def mcnemar(only_first: int, only_second: int) -> float:
     """The exact two-sided binomial probability of so uneven a split of the discordant cases."""
@@ -44,26 +41,18 @@ def paired_bootstrap(paired: DataFrame, first: str, second: str, reps: int = 200
     return {"diff": (x - y) / n, "lo": float(low), "hi": float(high), "only_first": x, "only_second": y, "p": mcnemar(x, y)}
 
 
-def _clusters(rows: DataFrame, value: str, group: str) -> list[tuple[float, int]]:
-    sums = rows.groupBy(group).agg(F.sum(value).alias("s"), F.count(value).alias("n")).orderBy(group).limit(MAX_CLUSTERS + 1).collect()
-    if len(sums) > MAX_CLUSTERS:
-        raise ValueError(f"more than {MAX_CLUSTERS} clusters")
-    return [(float(r["s"]), r["n"]) for r in sums]
-
-
 def cluster_bootstrap(rows: DataFrame, value: str, group: str, reps: int = 2000, seed: int = 20261001, ratio: bool = True) -> tuple[float, float, float]:
-    """``(estimate, low, high)`` of a mean (``ratio``) or total, whole groups being drawn; the bounds are sorted draws."""
-    clusters = _clusters(rows, value, group)
-    if not clusters or reps <= 0:
+    """``(estimate, low, high)`` of a mean (``ratio``) or total, whole groups being drawn; the bounds are sorted draws. Groups equal in
+    sum and size are drawn as one kind by a multinomial, so their number doesn't reach the driver, nor cost draws."""
+    per_group = rows.groupBy(group).agg(F.sum(value).cast("double").alias("s"), F.count(value).alias("n"))
+    kinds = per_group.groupBy("s", "n").agg(F.count("*").alias("k")).orderBy("s", "n").collect()
+    if not kinds or reps <= 0:
         raise ValueError("rows and a positive number of draws are needed")
-    rng, draws = random.Random(seed), []
-    for _ in range(reps):
-        picked = [clusters[rng.randrange(len(clusters))] for _ in clusters]
-        total = sum(s for s, _ in picked)
-        draws.append(total / sum(n for _, n in picked) if ratio else total)
-    draws.sort()
-    total = sum(s for s, _ in clusters)
-    return (total / sum(n for _, n in clusters) if ratio else total), draws[int(0.025 * (reps - 1))], draws[int(0.975 * (reps - 1))]
+    s, n, k = (np.array([r[c] for r in kinds], float) for c in "snk")
+    drawn = np.random.default_rng(seed).multinomial(int(k.sum()), k / k.sum(), reps)
+    value_of = lambda times: times @ s / (times @ n if ratio else 1)
+    draws = np.sort(value_of(drawn))
+    return float(value_of(k)), float(draws[int(0.025 * (reps - 1))]), float(draws[int(0.975 * (reps - 1))])
 
 
 def multinomial_bootstrap(rows: DataFrame, value: str, group: str, reps: int = 2000, seed: int = 0) -> tuple[float, float, float]:

@@ -21,7 +21,8 @@ from shinglemill.operators.select import draw
 from shinglemill.scratch import Scratch
 from shinglemill.sources.readers import table
 
-THETA, COPIES = 0.7, 100
+#: Similarity of near-duplicates; one original in so many has a copy of each kind.
+THETA, ONE_IN = 0.7, 10
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +35,8 @@ def _work(spark: SparkSession, sf_dir: str, detector: str = "contact") -> DataFr
 
 def _corpus(spark: SparkSession, sf_dir: str, kinds: tuple = ("copy",), detector: str = "contact") -> DataFrame:
     """Originals and generated copies, written once as many steps read them."""
-    docs = C.build_corpus(table(spark, sf_dir, "documents"), COPIES, kinds, detector=detector)
+    docs = table(spark, sf_dir, "documents")
+    docs = C.build_corpus(docs, -(-docs.count() // ONE_IN), kinds, detector=detector)
     return Scratch(spark, "corpus").keep(docs, "corpus")
 
 

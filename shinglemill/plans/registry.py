@@ -7,7 +7,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with ``QUERIES``, and ``ORACLES`` where SQL can express a query.
-MODULES = ("documents",)
+MODULES = ("documents", "oracles")
 
 
 def _gather(what: str) -> dict:
