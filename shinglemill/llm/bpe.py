@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shinglemill.llm.memory import small_batches, trim, trim_driver, trimmed
+from shinglemill.llm.memory import collect_garbage, small_batches, trim, trim_driver, trimmed
 from shinglemill.scratch import Scratch
 
 #: Bits of a token id in a packed entry; an id that stands for "no merge".
@@ -339,6 +339,7 @@ def encode(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id"
     """
     spark = docs.sparkSession
     small_batches(spark)
+    collect_garbage(spark)
     ranks = read_ranks(tokenizer)
     table = RankMap(ranks)
     # The rank map is a literal of some MB; without a bound every description of a plan would spell it out.
@@ -417,9 +418,13 @@ def encode(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id"
                 at = 0
                 while at < len(column):
                     upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + 50_000, "right")) - 1)
-                    ids, ends = _gather(known, fresh, codes[offsets[at] : offsets[upto]])
-                    ends = np.concatenate([[0], ends])[offsets[at : upto + 1] - offsets[at]]
-                    yield pa.RecordBatch.from_arrays([part.column("id").slice(at, upto - at), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))], [id_col, "ids"])
+                    runs, ends = [np.empty(0, np.int32)], [np.zeros(1, np.int64)]
+                    for first in range(offsets[at], offsets[upto], 50_000):  # more than one step for a very long text only
+                        ids, stops = _gather(known, fresh, codes[first : min(first + 50_000, offsets[upto])])
+                        runs.append(ids)
+                        ends.append(stops + ends[-1][-1])
+                    ends = np.concatenate(ends)[offsets[at : upto + 1] - offsets[at]]
+                    yield pa.RecordBatch.from_arrays([part.column("id").slice(at, upto - at), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(runs)))], [id_col, "ids"])
                     at = upto
 
     kind = dict(docs.dtypes)[id_col]

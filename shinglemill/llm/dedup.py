@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shinglemill.llm.memory import small_batches, trimmed
+from shinglemill.llm.memory import collect_garbage, small_batches, trimmed
 from shinglemill.operators.components import connected_components
 from shinglemill.scratch import Scratch
 
@@ -195,6 +195,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """
     spark = docs.sparkSession
     small_batches(spark)
+    collect_garbage(spark)
     scratch = Scratch(spark, "near-duplicates")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tfp"), F.col(text).alias("text"))
     sketches = scratch.keep(_sketches(docs, Sketcher(words, collections, rows, seed)), "sketches")

@@ -10,6 +10,7 @@ import pyarrow as pa
 from py4j.protocol import Py4JError
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -86,6 +87,16 @@ def trim() -> None:
         pass
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Has every executor's JVM, and the driver's, collect its garbage and give back what its heap doesn't need, before a step that
+    needs memory beside the heap. A heap that earlier steps have filled otherwise keeps its size."""
+    n = spark.sparkContext.defaultParallelism
+    gone = F.call_function("reflect", F.lit("java.lang.System"), F.lit("gc"))
+    spark.range(0, n, 1, n).select(gone.alias("gone")).write.format("noop").mode("overwrite").save()
+    spark._jvm.System.gc()
+    trim_driver(spark)
+
+
 def trimmed(run):
     """``run``, a function of batches, with its memory given back when a task ends."""
 
