@@ -3,6 +3,10 @@
 import base64
 import collections
 import hashlib
+import os
+import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -75,6 +79,13 @@ def test_near_duplicates_edge_cases(docs, none):
     assert dedup.near_duplicates(none).count() == 0
 
 
+def test_ids_that_repeat_with_other_texts(spark):
+    words = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    rows = [(1, words("a")), (1, words("b")), (2, words("b") + " x"), (3, words("a") + " y"), (5, words("c")), (4, words("d")), (5, words("d"))]
+    got = dedup.near_duplicates(documents(spark, [(i, t, None, None, 0) for i, t in rows])).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)} and len(got) == 7
+
+
 def test_near_duplicates_in_a_crowd(spark):
     """A group whose similarities spread over the threshold: every link inside large mixed buckets counts."""
     rng = np.random.default_rng(3)
@@ -120,6 +131,13 @@ def test_jump_hash():
         assert sharding.jump_hash(keys, n).tolist() == [plain_jump(int(k), n) for k in keys]
 
 
+def test_many_rows_of_one_key(spark):
+    df = documents(spark, [(i % 3 if i < 900 else None, "same", None, None, 0) for i in range(1_200)])
+    got = sharding.assign(df, shards=2, rows_per_bucket=20).collect()
+    for shard in {r["shard"] for r in got}:
+        assert sorted(r["slot"] for r in got if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in got)))
+
+
 def test_shards(docs, none):
     rows = sharding.assign(docs, rows_per_bucket=1).collect()
     assert len(rows) == docs.count()
@@ -253,10 +271,18 @@ def test_gradient():
 
 def test_windows_cover_every_word():
     for n in (0, 1, 63, 64, 65, 112, 113, 500):
-        ids, mask, doc = toxicity.cut_windows([np.arange(n)])
+        windows = toxicity.Windows([np.arange(n)])
+        ids, mask = windows.rows(np.arange(len(windows)))
         assert set(ids[mask > 0].tolist()) == set(range(n))
 
 
+def test_pieces_have_the_windows_of_the_whole():
+    text = " ".join(f"w{i}" for i in range(2 * toxicity._PIECE + 77))
+    names = {w: i for i, w in enumerate(toxicity.words_of(text))}
+    cut = lambda parts: [w.rows(np.arange(len(w)))[0].tolist() for w in (toxicity.Windows([np.array([names[x] for x in p])]) for p in parts)]
+    assert [r for part in cut(toxicity.pieces_of(text)) for r in part] == cut([list(names)])[0]
+
+
 # 5 -------------------------------------------------------------------------------------------------------------------
 
 
@@ -283,6 +309,27 @@ def test_mix(spark, docs, none):
     assert mixing.mix(docs).count() == docs.count() and mixing.mix(none).count() == 0
 
 
+def test_mix_with_one_key(spark):
+    """Rows without an id that are equal in everything still meet the target."""
+    rows = [(None, "a b c d", None, "s", 0)] * 6_000 + [(i, "x " * (i % 9), None, "t", 0) for i in range(2_000)]
+    got = mixing.mix(documents(spark, rows), weights=(1, 10)).groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).collect()
+    assert all(abs(r["taken"] - r["target"]) <= 10 for r in got)
+
+
+def test_mix_whole_table(spark, small):
+    rows = mixing.op5_entropy_balanced_mix(spark, small).collect()
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    assert {r["doc_id"]: r["size"] for r in rows} == {d: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for d, t in texts.items()}
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[r["source"]] += r["size"]
+    goal = mixing.targets(dict(sizes), [5, 2, 1])
+    for s in sizes:
+        mine = [r for r in rows if r["source"] == s]
+        assert mine[0]["target"] == pytest.approx(goal[s]) and abs(sum(r["taken"] for r in mine) - goal[s]) <= max(r["size"] for r in mine)
+        assert all(r["taken"] <= 2 * r["size"] for r in mine)
+
+
 def test_rates_are_exponentially_tilted(spark):
     rows = [(i, " ".join(["w"] * (5 + i)), None, "ab"[i % 2], 0) for i in range(80)]
     got = mixing.mix(documents(spark, rows)).filter("rate < 1.999").collect()
@@ -294,6 +341,12 @@ def test_rates_are_exponentially_tilted(spark):
 # 7 -------------------------------------------------------------------------------------------------------------------
 
 
+def test_toxicity_whole_table(spark, small):
+    for r in toxicity.op6_toxicity(spark, small).collect():
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+        assert 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7)
+
+
 def test_toxicity_learns_from_long_documents(spark):
     rng = np.random.default_rng(4)
     plain = [f"{a}{b}" for a in ("ri", "mo", "ta", "le", "su") for b in ("ver", "ster", "ble", "nd", "lk", "ply")]
@@ -408,6 +461,14 @@ def test_search_exact_when_all_leaves_are_visited(spark):
     assert ann.search(embedded(spark, rows[:3]), F.col("vec_id") % 100 == 0).count() == 2
 
 
+def test_search_by_length(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(150)] + [(200, [1.0, 2.0, 3.0]), (201, [1.0, 2.0, 4.0]), (300, [5.0])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).collect()
+    assert [(r["query_id"], r["vec_id"], r["score"]) for r in got if r["query_id"] >= 200] == [(200, 201, 1.0)]
+    assert sum(r["query_id"] == 0 for r in got) == 10
+
+
 def test_search_recall(spark):
     d = "/root/testdata/sf0.1"
     rows = [(r["vec_id"], r["embedding"], 0) for r in spark.read.parquet(f"{d}/embeddings.parquet").collect()]
@@ -490,6 +551,20 @@ def test_tokens(spark, tokenizer, frequent):
     assert {r["doc_id"]: bytes(r["content"]).decode() for r in bpe.decode(encoded, path).collect()} == {i: t or "" for i, t in enumerate(texts)}
 
 
+def test_long_words(spark, tokenizer):
+    """A word of 200,000 letters takes seconds; the heap gives what the fold gives; few remembered words change nothing."""
+    path, plain = tokenizer
+    ranks = bpe.read_ranks(path)
+    words = ["internationalization" * 20, "zqxj" * 100, "日本語" * 90, "aaa", "a"]
+    assert [bpe.merge_long(w.encode(), ranks, max(map(len, ranks))) for w in words] == [plain.encode_ordinary(w) for w in words]
+    texts = ["b" * 200_000, *words, " ".join(f"x{i}y" for i in range(3_000))]
+    df = documents(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)]).repartition(2)
+    encoded = bpe.encode(df, path, public_tokenizers.PATTERN, frequent=0, most_fresh=2)
+    got = {r["doc_id"]: r for r in bpe.decode(encoded, path).collect()}
+    assert all(bytes(got[i]["content"]).decode() == t for i, t in enumerate(texts))
+    assert all(got[i]["ids"] == plain.encode_ordinary(t) for i, t in enumerate(texts) if i)
+
+
 def test_no_tokens(none, tokenizer):
     assert bpe.encode(none, tokenizer[0], public_tokenizers.PATTERN).count() == 0
 
@@ -511,5 +586,34 @@ def test_latin_classes_match():
     assert regex.findall(public_tokenizers.PATTERN, "it's 12 é") == split("it's 12 é")
 
 
+@pytest.mark.parametrize("name", sorted(llm.oracle_sql()))
+def test_query_matches_sql(spark, small, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
+    df, want = llm.queries()[name](spark, small), con.execute(llm.oracle_sql()[name])
+    names = [c[0] for c in want.description]
+    assert sorted(map(str, (tuple(r) for r in df.select(*names).collect()))) == sorted(map(str, want.fetchall()))
+
+
+def test_workers_need_no_package(tmp_path, small):
+    """All queries with the package on the driver's path only."""
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    (tmp_path / "run.py").write_text(f"""
+import sys
+from shinglemill.session import local_session
+from shinglemill import llm
+spark = local_session(2, "3g", 2)
+spark.range(1).mapInArrow(lambda parts: (b for b in parts if __import__("importlib.util").util.find_spec("shinglemill") is None), "id long").collect()[0]
+print(sorted((n, q(spark, {small!r}).count() > 0) for n, q in llm.queries().items()))
+""")
+    code = f"import sys; sys.path.insert(0, {repo!r}); exec(open('run.py').read())"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.stdout.count("True") == 10, done.stderr[-2000:]
+
+
 def test_every_number_is_registered():
     assert {q.split("_")[0] for q in llm.queries()} == {f"op{i}" for i in range(1, 11)}
