@@ -21,9 +21,9 @@ def one(spark, column):
 
 
 def test_tokens_and_short_shingles(spark):
-    assert one(spark, T.tokens(F.lit("Alice met [PII_1] Bob"))) == ["alice", "met", "[PII_1]", "bob"]
-    assert one(spark, T.shingles_text(T.tokens(F.lit("Alice met Bob")), 5)) == ["alice met bob"]
-    assert one(spark, T.shingles(T.tokens(F.lit("Alice met Bob")), 5)) == [zlib.crc32(b"alice met bob")]
+    assert one(spark, T.tokens(F.lit("Seven Boats near [LOC_2], Rust"))) == ["seven", "boats", "near", "[LOC_2]", "rust"]
+    assert one(spark, T.shingles_text(T.tokens(F.lit("Rust, everywhere")), 5)) == ["rust everywhere"]
+    assert one(spark, T.shingles(T.tokens(F.lit("Rust, everywhere")), 5)) == [zlib.crc32(b"rust everywhere")]
     assert one(spark, T.shingles(T.tokens(F.lit("")), 5)) == [0]
     assert one(spark, T.shingles_strict(T.words_lower(F.lit("a b c d")))) == []
     with pytest.raises(ValueError):
@@ -78,17 +78,21 @@ def test_longest_first(spark):
 
 
 def test_marking_scopes(spark):
-    text, title = F.lit("Alice Smith met Jane Doe in 2020."), F.lit("Alice Smith (writer)")
-    found = [[(s["start"], s["end"]) for s in one(spark, S.revision_spans(text, title, scope))] for scope in S.SCOPES]
-    assert found == [[(0, 11)], [(0, 11), (16, 24)], [(0, 11), (16, 24), (28, 32)]]
+    said = "The ferry of Nora Quist sank off Cape Dulse Point during 1987, says nora  quist."
+    text, title = F.lit(said), F.lit("Nora Quist (sailor)")
+    found = [[s["surface"] for s in one(spark, S.revision_spans(text, title, scope))] for scope in S.SCOPES]
+    assert found == [["Nora Quist", "nora  quist"], ["Nora Quist", "Cape Dulse Point", "nora  quist"], ["Nora Quist", "Cape Dulse Point", "1987", "nora  quist"]]
+    assert all(said[s["start"] : s["end"]] == s["surface"] for s in one(spark, S.revision_spans(text, title, "DENSE")))
     with pytest.raises(ValueError):
         S.revision_spans(text, title, "ALL")
 
 
 def test_marking_density(spark):
-    text = F.lit("Ada Writer went home yesterday and now")
-    d = one(spark, S.marking_density(text, S.regex_spans(text, "Ada Writer", "X")))
-    assert (d["token_share"], d["window_share"]) == (2 / 7, 2 / 3)
+    text = F.lit("we saw the old mill burn down twice last winter")
+    d = one(spark, S.marking_density(text, S.regex_spans(text, "mill|winter", "X")))
+    assert (d["token_share"], d["window_share"]) == (2 / 10, 6 / 6)
+    d = one(spark, S.marking_density(text, S.regex_spans(text, "we", "X")))
+    assert (d["token_share"], d["window_share"]) == (1 / 10, 1 / 6)
 
 
 def test_name_tokens(spark):
