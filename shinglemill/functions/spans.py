@@ -16,6 +16,8 @@ PHONE = r"\+?\p{Nd}[\p{Nd} ()-]{7,}\p{Nd}"
 IPV4 = r"(?<![\p{L}\p{N}_])(?:\p{Nd}{1,3}\.){3}\p{Nd}{1,3}(?![\p{L}\p{N}_])"
 APPLICATION_NUMBER = r"(?<![\p{L}\p{N}_])\p{Nd}{1,6}/\p{Nd}{2}(?![\p{L}\p{N}_])"
 NAME = r"(?<![\p{L}\p{N}_])[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,2}(?![\p{L}\p{N}_])"
+#: A capitalised word that follows, blanks aside, something other than the end of a line or sentence, a quote or a parenthesis.
+INNER_NAME = r"(?<![\p{L}\p{N}_])(?=[A-Z])(?<=[^ \t\n.!?:;\"“(][ \t]{0,63})[A-Z][a-z]+(?![\p{L}\p{N}_])"
 YEAR = r"(?<!\p{Nd})(?:19\p{Nd}\p{Nd}|20(?:0\p{Nd}|1\p{Nd}|2[0-6]))(?!\p{Nd})"
 CONTACT = (("EMAIL_ADDRESS", EMAIL), ("PHONE_NUMBER", PHONE), ("IP_ADDRESS", IPV4))
 
@@ -48,12 +50,17 @@ def regex_spans(text: Column, pattern: str | Column, kind: str) -> Column:
 
 
 def resolve(spans: Column) -> Column:
-    """The longest spans first, then the earliest, each taken when it overlaps none taken before; in order of their start."""
-    keyed = F.transform(spans, lambda s: F.struct((s["start"] - s["end"]).alias("k"), s["start"].alias("start"), s.alias("s")))
-    taken = F.aggregate(
-        F.array_sort(keyed), F.array().cast(f"array<{SPAN}>"), lambda acc, k: F.when(overlaps(k["s"]["start"], k["s"]["end"], acc), acc).otherwise(F.concat(acc, F.array(k["s"])))
-    )
-    return F.array_sort(taken)
+    """The longest spans first, then the earliest, each taken when it overlaps none taken before; in order of their start. Most texts
+    have no overlaps, and theirs are only sorted."""
+
+    def greedy(found: Column) -> Column:
+        keyed = F.transform(found, lambda s: F.struct((s["start"] - s["end"]).alias("k"), s["start"].alias("start"), s.alias("s")))
+        taken = F.aggregate(
+            F.array_sort(keyed), F.array().cast(f"array<{SPAN}>"), lambda acc, k: F.when(overlaps(k["s"]["start"], k["s"]["end"], acc), acc).otherwise(F.concat(acc, F.array(k["s"])))
+        )
+        return F.array_sort(taken)
+
+    return let(F.array_sort(spans), lambda found: F.when(_neighbours_meet(found), greedy(found)).otherwise(found))
 
 
 def overlaps(start: Column, end: Column, spans: Column) -> Column:
@@ -92,9 +99,15 @@ def of_types(spans: Column, types: list[str]) -> Column:
     return F.filter(spans, lambda s: s["type"].isin(types))
 
 
+def _neighbours_meet(ordered: Column) -> Column:
+    """Of spans in order of their start: if any two overlap, two neighbours do."""
+    following = F.slice(ordered, F.lit(2), F.greatest(F.size(ordered), F.lit(1)))
+    return F.exists(F.zip_with(ordered, following, lambda a, b: b.isNotNull() & (b["start"] < a["end"])), lambda x: x)
+
+
 def has_overlap(spans: Column) -> Column:
     """Whether two spans of the array overlap."""
-    return F.exists(F.zip_with(F.array_sort(spans), F.slice(F.array_sort(spans), F.lit(2), F.greatest(F.size(spans), F.lit(1))), lambda a, b: b.isNotNull() & (b["start"] < a["end"])), lambda x: x)
+    return let(F.array_sort(spans), _neighbours_meet)
 
 
 def misaligned(text: Column, spans: Column) -> Column:
@@ -104,18 +117,12 @@ def misaligned(text: Column, spans: Column) -> Column:
 
 def name_tokens(text: Column) -> Column:
     """Capitalised words that don't begin a line or follow the end of a sentence, a quote or a parenthesis."""
-    found = regex_spans(text, r"(?<![\p{L}\p{N}_])[A-Z][a-z]+(?![\p{L}\p{N}_])", "NAME")
-
-    def inside(s: Column) -> Column:
-        before = F.rtrim(F.translate(F.substring(text, F.greatest(s["start"] - 63, F.lit(1)), F.least(s["start"], F.lit(64))), "\t", " "))
-        return (F.length(before) > 0) & ~F.right(before, F.lit(1)).isin(list('\n.!?:;"“('))
-
-    return F.filter(found, inside)
+    return let(text, lambda t: regex_spans(t, INNER_NAME, "NAME"))
 
 
 def marked_tokens(text: Column, spans: Column, pattern: str = WORD) -> Column:
     """``ARRAY<STRUCT<token, marked>>``: every token in lower case and whether it overlaps a span."""
-    return F.transform(regex_spans(text, pattern, "T"), lambda t: F.struct(F.lower(t["surface"]).alias("token"), overlaps(t["start"], t["end"], spans).alias("marked")))
+    return let(spans, lambda held: F.transform(regex_spans(text, pattern, "T"), lambda t: F.struct(F.lower(t["surface"]).alias("token"), overlaps(t["start"], t["end"], held).alias("marked"))))
 
 
 #: Detectors by name: functions of a text column to a span column. ``register_detector`` adds others, e.g. a model in a pandas UDF.

@@ -29,7 +29,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", l
     """``(id, component)`` for every id on an edge between two different ids; component is the smallest reachable id.
 
     Nulls on either side and self-loops are ignored; repeated and reversed edges count once. An empty edge table
-    gives an empty result. Ids without an edge are absent: callers coalesce to the id itself.
+    gives an empty result. Ids without an edge are absent: callers coalesce to the id itself. An id may be a struct of a setting and
+    a document, so that one run serves several graphs.
     """
     spark = edges.sparkSession
     scratch = Scratch(spark, label)

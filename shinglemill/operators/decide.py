@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +62,19 @@ def minhash_decision(docs: DataFrame, signatures: DataFrame, banding: str = "14x
     return labelled(docs.select("idx", "case", "is_copy"), connected_components(sim.band_stars(bands)))
 
 
+def minhash_decisions(signatures: DataFrame, bandings: tuple) -> DataFrame:
+    """``(setting, banding, idx, component)`` of the documents with a link, for every banding over ``signatures (setting, idx, signature)``: the settings are part of
+    the node, so one run of the components serves all of them."""
+    parts = [signatures.select("setting", F.lit(b).alias("banding"), "idx", F.posexplode(T.bands(F.col("signature"), *T.BANDINGS[b])).alias("band", "key")) for b in bandings]
+    bands = Scratch(signatures.sparkSession, "bandings").keep(reduce(DataFrame.unionByName, parts), "bands")
+    group = ["setting", "banding"]
+    low = bands.groupBy(*group, "band", "key").agg(F.min("idx").alias("src"), F.max("idx").alias("top")).filter("src < top")
+    node = lambda c: F.struct(*group, F.col(c).alias("id"))
+    stars = bands.join(low, [*group, "band", "key"]).filter("idx > src").select(node("src").alias("src"), node("idx").alias("dst"))
+    linked = connected_components(stars).select("id.setting", "id.banding", F.col("id.id").alias("idx"), F.col("component.id").alias("component"))
+    return linked
+
+
 def union_partition(first: DataFrame, second: DataFrame) -> DataFrame:
     """``(id, component)`` of documents that meet in either of two partitions ``(idx, component)``."""
     return connected_components(first.select("idx", "component").unionByName(second.select("idx", "component")), "idx", "component")

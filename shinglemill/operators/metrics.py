@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shinglemill.functions import spans as S
 from shinglemill.functions import text as T
 from shinglemill.functions.release import mention_releases, release
-from shinglemill.operators.similarity import shingle_sets
+from shinglemill.operators.similarity import release_shingles
 from shinglemill.scratch import Scratch
 
 EPS = 1e-9
@@ -75,16 +75,24 @@ def cross_pairs(items: DataFrame, *keys: str) -> DataFrame:
     for k in keys:
         used = used.filter(F.col(k).isNotNull() & (F.col(k) != ""))
     per_case = used.groupBy(*keys, "case").agg(F.count("*").alias("v"))
-    per_key = per_case.groupBy(*keys).agg(((F.sum("v") * F.sum("v") - F.sum(F.col("v") * F.col("v"))) / 2).cast("long").alias("p"))
-    return per_key.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("n"))
+    return _pairs_of(per_case, *keys).agg(F.coalesce(F.sum("p"), F.lit(0)).alias("n"))
+
+
+def _pairs_of(per_case: DataFrame, *keys: str) -> DataFrame:
+    return per_case.groupBy(*keys).agg(((F.sum("v") * F.sum("v") - F.sum(F.col("v") * F.col("v"))) / 2).cast("long").alias("p"))
 
 
 def linkage(docs: DataFrame, strategy: str, only_type: str | None = None) -> DataFrame:
-    """``(truth, predicted, correct, recall, precision)`` of linking mentions across cases by their released string."""
-    items = mention_items(docs, strategy, only_type)
-    t, p = cross_pairs(items, "truth").first()["n"], cross_pairs(items, "released").first()["n"]
-    c = cross_pairs(items, "released", "truth").first()["n"]
-    return docs.sparkSession.createDataFrame([(t, p, c, c / t if t else None, c / p if p else None)], "truth long, predicted long, correct long, recall double, precision double")
+    """``(truth, predicted, correct, recall, precision)`` of linking mentions across cases by their released string. Mentions are
+    released and normalised once, and counted by true string, released string and both in one plan."""
+    named = lambda c: F.when(F.col(c) != "", F.col(c))
+    t, r = named("truth"), named("released")
+    keys = F.array(*(F.struct(F.lit(what).alias("what"), key.alias("key")) for what, key in (("truth", F.struct(t.alias("x"), F.lit("").alias("y"))), ("predicted", F.struct(r.alias("x"), F.lit("").alias("y"))), ("correct", F.struct(t.alias("x"), r.alias("y"))))))
+    counted = mention_items(docs, strategy, only_type).groupBy("case", "truth", "released").agg(F.count("*").alias("c"))
+    used = counted.select("case", "c", F.explode(keys).alias("k")).select("case", "c", "k.what", "k.key.x", "k.key.y").filter("x is not null and y is not null")
+    pairs = _pairs_of(used.groupBy("what", "x", "y", "case").agg(F.sum("c").alias("v")), "what", "x", "y")
+    n = lambda what: F.coalesce(F.sum(F.when(F.col("what") == what, F.col("p"))), F.lit(0)).alias(what)
+    return pairs.agg(n("truth"), n("predicted"), n("correct")).select("*", _ratio(F.col("correct"), F.col("truth")).alias("recall"), _ratio(F.col("correct"), F.col("predicted")).alias("precision"))
 
 
 def released_linkage(docs: DataFrame, membership: DataFrame, strategy: str) -> DataFrame:
@@ -93,41 +101,47 @@ def released_linkage(docs: DataFrame, membership: DataFrame, strategy: str) -> D
     return linkage(docs.join(kept, "idx", "left_semi").withColumn("is_copy", F.lit(False)), strategy, "PERSON")
 
 
-def window_sets(docs: DataFrame, n: int = 5) -> DataFrame:
+def paired_documents(docs: DataFrame) -> DataFrame:
+    """Copies and the originals that have one: all that measures of pairs read."""
+    return docs.join(docs.filter("is_copy").select("case").distinct(), "case", "left_semi")
+
+
+def window_sets(docs: DataFrame, n: int = 5, *more: Column) -> DataFrame:
     """``(idx, case, is_copy, every, unmarked)``: all shingles of lower-cased tokens, and those of windows without a marked one."""
 
     def windows(ts: Column) -> Column:
         spread = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(ts) - (n - 1)))
         return F.transform(spread, lambda i: T.let(F.slice(ts, i, F.lit(n)), lambda w: F.struct(F.array_join(F.transform(w, lambda t: t["token"]), " ").alias("s"), F.exists(w, lambda t: t["marked"]).alias("marked"))))
 
-    w = docs.withColumn("w", T.let(S.marked_tokens(F.col("text"), F.col("spans"), T.TOKEN), windows))
-    return w.select("idx", "case", "is_copy", F.array_distinct(F.transform("w", lambda x: x["s"])).alias("every"), F.array_distinct(F.transform(F.filter("w", lambda x: ~x["marked"]), lambda x: x["s"])).alias("unmarked"))
+    def sets(w: Column) -> Column:
+        texts = lambda x: F.array_distinct(F.transform(x, lambda v: v["s"]))
+        return F.struct(texts(w).alias("every"), texts(F.filter(w, lambda x: ~x["marked"])).alias("unmarked"))
+
+    both = T.let(T.let(S.marked_tokens(F.col("text"), F.col("spans"), T.TOKEN), windows), sets)
+    return docs.select("idx", "case", "is_copy", both.alias("w"), *more).select("idx", "case", "is_copy", "w.*", *docs.select(*more).columns)
 
 
 def dose(docs: DataFrame, strategies: tuple = ("SUR-DOC", "HASH-ENTITY", "FAKER-DOC"), n: int = 5) -> DataFrame:
     """For every copy: the share of shingles that marking touches, similarity as it is, as predicted after document-scoped
-    replacement, (1 - m) J / (1 + m J), and as observed under each strategy."""
-    w = window_sets(docs, n)
-    o = w.filter("not is_copy").select("case", F.col("every").alias("oa"), F.col("unmarked").alias("ou"))
+    replacement, (1 - m) J / (1 + m J), and as observed under each strategy. Only copies and their originals are released, each
+    once, and one join brings them together."""
+    names = {s: s.lower().replace("-", "_") for s in strategies}
+    w = window_sets(paired_documents(docs), n, *(release_shingles(s, n).alias(name) for s, name in names.items()))
+    w = Scratch(docs.sparkSession, "dose").keep(w, "sets")
+    o = w.filter("not is_copy").select("case", F.col("every").alias("oa"), F.col("unmarked").alias("ou"), *(F.col(x).alias(f"o_{x}") for x in names.values()))
     both = w.filter("is_copy").join(o, "case").withColumn("s", F.array_intersect("oa", "every"))
     rest = F.size(F.array_intersect(F.array_intersect("s", "ou"), F.col("unmarked")))
     m_doc = 1 - F.size("ou") / F.greatest(F.size("oa"), F.lit(1))
     m_shared = 1 - rest / F.greatest(F.size("s"), F.lit(1))
-    rows = both.select("idx", "case", m_doc.alias("m_doc"), m_shared.alias("m_shared"), T.jaccard(F.col("oa"), F.col("every")).alias("j_raw"))
+    rows = both.select("idx", "case", m_doc.alias("m_doc"), m_shared.alias("m_shared"), T.jaccard(F.col("oa"), F.col("every")).alias("j_raw"), *(T.jaccard(F.col(f"o_{x}"), F.col(x)).alias(f"j_{x}") for x in names.values()))
     form = lambda m: (1 - F.col(m)) * F.col("j_raw") / (1 + F.col(m) * F.col("j_raw"))
-    rows = rows.withColumn("j_pred", form("m_doc")).withColumn("j_pred_shared", form("m_shared"))
-    for s in strategies:
-        name = "j_" + s.lower().replace("-", "_")
-        sets = docs.select("idx", "case", "is_copy").join(shingle_sets(docs, n, s), "idx")
-        first = sets.filter("not is_copy").select("case", F.col("set").alias("so"))
-        rows = rows.join(sets.filter("is_copy").join(first, "case").select("idx", T.jaccard(F.col("so"), F.col("set")).alias(name)), "idx")
-    return rows
+    return rows.withColumn("j_pred", form("m_doc")).withColumn("j_pred_shared", form("m_shared"))
 
 
 def marking_conditions(docs: DataFrame, n: int = 5) -> DataFrame:
     """``(idx, case, consistent, same_marked)``: no shingle of the pair is marked in one place and unmarked in another; both have the
     same marked shingles in common."""
-    w = window_sets(docs, n).withColumn("touched", F.array_except("every", "unmarked"))
+    w = Scratch(docs.sparkSession, "conditions").keep(window_sets(paired_documents(docs), n), "sets").withColumn("touched", F.array_except("every", "unmarked"))
     o = w.filter("not is_copy").select("case", F.col("every").alias("oe"), F.col("unmarked").alias("ou"), F.col("touched").alias("ot"))
     both = w.filter("is_copy").join(o, "case")
     clash = F.size(F.array_intersect(F.array_union("ot", "touched"), F.array_union("ou", "unmarked")))
@@ -197,10 +211,12 @@ def exposure(docs: DataFrame, found: str, strategy: str = "FAKER-DOC", most: int
     in original and copy (``two``), less a dictionary of surrogates where there is one. ``docs`` has gold spans; ``found`` names the
     column of the spans that the release replaced. Returns ``(rule, flagged, leaked_found, surrogates, leaked, precision, recall)``."""
     rel = release(F.col("text"), F.col(found), strategy, F.col("key"), F.col("case"))
-    names = lambda t: F.array_distinct(F.transform(S.name_tokens(t), lambda s: s["surface"]))
-    gold = S.of_types(F.col("spans"), ["PERSON", "ORG", "LOC"])
-    leak = F.filter(S.name_tokens(F.col("text")), lambda s: S.overlaps(s["start"], s["end"], gold) & ~S.overlaps(s["start"], s["end"], F.col(found)))
-    d = docs.select("idx", "case", "is_copy", names(rel).alias("rel"), names(F.col("text")).alias("raw"), F.array_distinct(F.transform(leak, lambda s: s["surface"])).alias("leak"))
+    surfaces = lambda found: F.array_distinct(F.transform(found, lambda s: s["surface"]))
+    hidden = lambda s, gold, seen: S.overlaps(s["start"], s["end"], gold) & ~S.overlaps(s["start"], s["end"], seen)
+    # Every array that a lambda reads is bound first: an expression inside a lambda is evaluated for each element.
+    leaks = lambda t: T.let(S.of_types(F.col("spans"), ["PERSON", "ORG", "LOC"]), lambda gold: T.let(F.col(found), lambda seen: surfaces(F.filter(t, lambda s: hidden(s, gold, seen)))))
+    raw = T.let(S.name_tokens(F.col("text")), lambda t: F.struct(surfaces(t).alias("raw"), leaks(t).alias("leak")))
+    d = docs.select("idx", "case", "is_copy", surfaces(S.name_tokens(rel)).alias("rel"), raw.alias("of")).select("idx", "case", "is_copy", "rel", "of.*")
     d = Scratch(docs.sparkSession, "exposure").keep(d, "names")
     rare = d.select(F.explode("rel").alias("t")).groupBy("t").count().filter(F.col("count") <= most).select("t")
     c = d.filter("is_copy").select("case", F.col("idx").alias("copy"), F.col("rel").alias("crel"), F.col("raw").alias("craw"))

@@ -6,6 +6,8 @@ given by their MD5, so that results compare by value.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -250,14 +252,11 @@ def minhash_bandings(spark, sf_dir):
     """The bandings over signatures of each of three seeds."""
     docs = _corpus(spark, sf_dir, ("real",))
     sets = Scratch(spark, "sets").keep(sim.shingle_sets(docs, 5), "sets")
-    out = None
-    for seed in range(3):
-        signed = Scratch(spark, "signatures").keep(sim.signatures(sets, seed=seed), "signatures")
-        for name in T.BANDINGS:
-            m = D.minhash_decision(docs, signed, name).select(F.lit(name).alias("banding"), F.lit(seed).alias("seed"), (F.col("idx") != F.col("component")).cast("long").alias("gone"))
-            one = m.groupBy("banding", "seed").agg(F.count("*").alias("documents"), F.sum("gone").alias("removed"))
-            out = one if out is None else out.unionByName(one)
-    return out
+    signed = reduce(DataFrame.unionByName, (sim.signatures(sets, seed=seed).withColumn("setting", F.lit(seed)) for seed in range(3)))
+    linked = D.minhash_decisions(Scratch(spark, "signatures").keep(signed, "signatures"), tuple(T.BANDINGS))
+    removed = linked.filter("idx <> component").groupBy("banding", F.col("setting").alias("seed")).agg(F.count("*").alias("removed"))
+    settings = spark.createDataFrame([(b, s) for b in T.BANDINGS for s in range(3)], "banding string, seed int")
+    return settings.join(removed, ["banding", "seed"], "left").select("banding", "seed", F.lit(docs.count()).cast("long").alias("documents"), F.coalesce("removed", F.lit(0)).cast("long").alias("removed"))
 
 
 def order_difference(spark, sf_dir):
@@ -339,8 +338,8 @@ def false_merges(spark, sf_dir):
 
 def _dose(spark, sf_dir):
     docs = _corpus(spark, sf_dir, ("copy", "real"), "rules")
-    parts = [M.dose(docs.filter(~F.col("is_copy") | (F.col("copy_kind") == k))).withColumn("setting", F.lit(k)) for k in ("copy", "real")]
-    return Scratch(spark, "dose").keep(parts[0].unionByName(parts[1]), "rows")
+    kinds = docs.filter("is_copy").select("idx", F.col("copy_kind").alias("setting"))
+    return Scratch(spark, "dose").keep(M.dose(docs).join(kinds, "idx"), "rows")
 
 
 def _rounded(df):
