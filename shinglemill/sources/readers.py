@@ -15,7 +15,14 @@ MASKED = ("DIRECT", "QUASI")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores where its scan has fewer tasks than there are cores, since expressions over texts cost far more than
+    moving them. A table of more files or row groups is left as its scan is, so no large table is shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def annotated_json(spark: SparkSession, paths: list[str]) -> DataFrame:
