@@ -233,3 +233,34 @@ def test_minhash_bandings_of_three_seeds(spark, small):
     rows = documents.minhash_bandings(spark, small).collect()
     assert sorted((r["banding"], r["seed"]) for r in rows) == sorted((name, seed) for name in T.BANDINGS for seed in range(3))
     assert len({r["documents"] for r in rows}) == 1 and all(0 < r["removed"] < r["documents"] for r in rows)
+
+
+def test_cosine_threshold_takes_whole_vectors_of_equal_length(spark):
+    import numpy as np
+
+    from shinglemill.operators.similarity import cosine_threshold
+
+    made = np.random.default_rng(4).normal(size=(40, 6))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(made)]
+    odd = [(90, None), (91, []), (92, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (93, [float("nan")] * 6), (94, [1.0, 2.0]), (95, [2.0, 4.0])]
+    pairs = spark.createDataFrame([(0, 1), (2, 3), (4, 92), (94, 95), (5, 94)], "a long, b long")
+    got = cosine_threshold(spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>"), pairs, 0.9).first()
+    unit = made / np.linalg.norm(made, axis=1, keepdims=True)
+    every = np.append((unit @ unit.T)[np.triu_indices(40, 1)], 1.0)
+    asked = [unit[0] @ unit[1], unit[2] @ unit[3], 1.0]
+    assert abs(got["tau"] - np.quantile(every, 0.9)) < 1e-9
+    assert got["n"] == 3 and abs(got["median_positive"] - np.median(asked)) < 1e-9
+    assert abs(got["recall"] - np.mean([c >= got["tau"] for c in asked])) < 1e-9
+
+
+def test_one_run_of_components_serves_all_bandings(spark):
+    from pyspark.sql import functions as F
+
+    from shinglemill.operators import decide
+
+    signed = spark.createDataFrame([(i, [7 * (i // 3)] * 100 + [i] * 12) for i in range(9)], "idx long, signature array<long>")
+    linked = decide.minhash_decisions(signed.withColumn("setting", F.lit(0)), ("14x8", "7x16"))
+    for banding in ("14x8", "7x16"):
+        docs = signed.select("idx", F.col("idx").alias("case"), F.lit(False).alias("is_copy"))
+        plain = {tuple(r) for r in decide.minhash_decision(docs, signed, banding).select("idx", "component").collect()}
+        assert {tuple(r) for r in linked.filter(F.col("banding") == banding).select("idx", "component").collect()} == plain
