@@ -10,7 +10,7 @@ from tests.test_oracles import rows
 TEXTS = ["Pf 99.114.106.61 4080166431094600 Erauver.", "hnof.70@mail0.example.com 38.211.12.42 4366089147969128 ly", "99.114.106.61", "+1 (853) 555-7168 th. 38.253.197.126 4880761348116108", "", None]
 
 
-@pytest.mark.parametrize("name", ["linkage_raw", "release_alias_collapsed", "release_drop", "release_mask", "release_type", "span_alignment", "span_resolve"])
+@pytest.mark.parametrize("name", ["linkage_mask", "linkage_raw", "release_alias_collapsed", "release_drop", "release_mask", "release_type", "span_alignment", "span_resolve"])
 def test_address_before_number(spark, tmp_path, name):
     import duckdb
 
