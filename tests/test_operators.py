@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shinglemill.functions import spans as S
+from shinglemill.functions import text as T
 from shinglemill.operators import corpus as C
 from shinglemill.operators import decide as D
 from shinglemill.operators import metrics as M
@@ -264,3 +265,16 @@ def test_one_run_of_components_serves_all_bandings(spark):
         docs = signed.select("idx", F.col("idx").alias("case"), F.lit(False).alias("is_copy"))
         plain = {tuple(r) for r in decide.minhash_decision(docs, signed, banding).select("idx", "component").collect()}
         assert {tuple(r) for r in linked.filter(F.col("banding") == banding).select("idx", "component").collect()} == plain
+
+
+def test_similarity_join_of_words(spark):
+    rng = np.random.default_rng(5)
+    bases = [" ".join(f"w{x}" for x in rng.integers(0, 300, 40)) for _ in range(12)]
+    texts = [" ".join(t.split()[k:]) + " tail" * (k % 2) for t in bases for k in range(5)] + ["", "", "one two", "One, two", "[A_1] [a_1]", bases[0]]
+    df = spark.createDataFrame(list(enumerate(texts)), "idx long, text string")
+    sets = {r["idx"]: set(r["s"]) for r in df.select("idx", T.shingles_text(T.tokens(F.col("text")), 5).alias("s")).collect()}
+    words = sim.shingle_words(df)
+    for theta in (0.5, 0.7):
+        want = {(i, j): len(a & b) / len(a | b) for i, a in sets.items() for j, b in sets.items() if i < j and len(a & b) >= theta * len(a | b)}
+        assert {(r["i"], r["j"]): r["jaccard"] for r in sim.jaccard_pairs(words, theta, 5).collect()} == want and len(want) > 50
+        assert {(r["a"], r["b"]): r["containment"] for r in sim.containment_pairs(words, theta, 5).collect()} == {(i, j): len(sets[i] & sets[j]) / len(sets[j]) for i, j in want}
